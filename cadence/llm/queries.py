@@ -1,12 +1,16 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
+from cadence.llm.chat import OP5_SQL, op5_chat_format
 from cadence.llm.mixing import OP9_SQL, op9_mix_sources
 from cadence.llm.packing import op8_pack_sequences
 from cadence.llm.quality import op10_quality_votes
+from cadence.llm.secrets import OP7_SQL, op7_secret_ledger
 
 QUERIES = {
+    "op5_chat_format": op5_chat_format,
+    "op7_secret_ledger": op7_secret_ledger,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_votes": op10_quality_votes,
 }
-ORACLES = {"op9_mix_sources": OP9_SQL}
+ORACLES = {"op5_chat_format": OP5_SQL, "op7_secret_ledger": OP7_SQL, "op9_mix_sources": OP9_SQL}
