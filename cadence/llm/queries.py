@@ -5,12 +5,14 @@ from cadence.llm.mixing import OP9_SQL, op9_mix_sources
 from cadence.llm.packing import op8_pack_sequences
 from cadence.llm.quality import op10_quality_votes
 from cadence.llm.secrets import OP7_SQL, op7_secret_ledger
+from cadence.llm.substrings import OP4_SQL, op4_repeated_windows
 
 QUERIES = {
+    "op4_repeated_windows": op4_repeated_windows,
     "op5_chat_format": op5_chat_format,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_votes": op10_quality_votes,
 }
-ORACLES = {"op5_chat_format": OP5_SQL, "op7_secret_ledger": OP7_SQL, "op9_mix_sources": OP9_SQL}
+ORACLES = {"op4_repeated_windows": OP4_SQL, "op5_chat_format": OP5_SQL, "op7_secret_ledger": OP7_SQL, "op9_mix_sources": OP9_SQL}
