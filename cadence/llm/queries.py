@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
 from cadence.llm.chat import OP5_SQL, op5_chat_format
+from cadence.llm.lines import op6_line_alignment
 from cadence.llm.mixing import OP9_SQL, op9_mix_sources
 from cadence.llm.packing import op8_pack_sequences
 from cadence.llm.quality import op10_quality_votes
@@ -10,6 +11,7 @@ from cadence.llm.substrings import OP4_SQL, op4_repeated_windows
 QUERIES = {
     "op4_repeated_windows": op4_repeated_windows,
     "op5_chat_format": op5_chat_format,
+    "op6_line_alignment": op6_line_alignment,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_mix_sources": op9_mix_sources,
