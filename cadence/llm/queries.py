@@ -1,6 +1,8 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
 from cadence.llm.chat import OP5_SQL, op5_chat_format
+from cadence.llm.collisions import OP3_SQL, op3_collision_links
+from cadence.llm.forest import op1_prefix_forest
 from cadence.llm.lines import op6_line_alignment
 from cadence.llm.mixing import OP9_SQL, op9_mix_sources
 from cadence.llm.packing import op8_pack_sequences
@@ -9,6 +11,8 @@ from cadence.llm.secrets import OP7_SQL, op7_secret_ledger
 from cadence.llm.substrings import OP4_SQL, op4_repeated_windows
 
 QUERIES = {
+    "op1_prefix_forest": op1_prefix_forest,
+    "op3_collision_links": op3_collision_links,
     "op4_repeated_windows": op4_repeated_windows,
     "op5_chat_format": op5_chat_format,
     "op6_line_alignment": op6_line_alignment,
@@ -17,4 +21,4 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_votes": op10_quality_votes,
 }
-ORACLES = {"op4_repeated_windows": OP4_SQL, "op5_chat_format": OP5_SQL, "op7_secret_ledger": OP7_SQL, "op9_mix_sources": OP9_SQL}
+ORACLES = {"op3_collision_links": OP3_SQL, "op4_repeated_windows": OP4_SQL, "op5_chat_format": OP5_SQL, "op7_secret_ledger": OP7_SQL, "op9_mix_sources": OP9_SQL}
