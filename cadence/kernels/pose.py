@@ -1,0 +1,81 @@
+"""Pose geometry in numpy for kernels, by the same tables as `cadence.functions.geometry`."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from cadence.functions.geometry import ANGLES, HIPS, KEPT, MIN_SCALE, MIRROR, MOTION, POINTS, SHOULDERS, SIGN
+
+ANGLE_COUNT = len(ANGLES)
+
+
+def pose_array(pose) -> np.ndarray | None:
+    """(landmarks, 4) of x, y, z and visibility with NaN for what is missing; None for no pose."""
+    if pose is None:
+        return None
+    rows = [(None,) * 4 if p is None else (p["x"], p["y"], p["z"], p["visibility"]) if isinstance(p, dict) else tuple(p) for p in pose]
+    return np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(-1, 4)
+
+
+def _present_mean(a, b):
+    return a if np.isnan(b).any() and not np.isnan(a).any() else b if np.isnan(a).any() and not np.isnan(b).any() else (a + b) / 2
+
+
+def normal_points(pose, width: float, height: float) -> np.ndarray:
+    """(points, 3) centred and scaled, all NaN where that is undefined."""
+    out = np.full((POINTS, 3), np.nan)
+    p = pose if isinstance(pose, np.ndarray) or pose is None else pose_array(pose)
+    if p is None:
+        return out
+    for k, i in enumerate(KEPT):
+        if i < len(p):
+            out[k] = p[i, 0] * (width / height), p[i, 1], p[i, 3]
+    out[~np.isfinite(out)] = np.nan
+    xy = out[:, :2]
+    centre = np.array([_present_mean(xy[HIPS[0], k], xy[HIPS[1], k]) for k in (0, 1)])
+    torso = [np.hypot(*(xy[s] - xy[h])) for s, h in zip(SHOULDERS, HIPS, strict=True)]
+    scale = _present_mean(*torso)
+    if not (np.isfinite(centre).all() and np.isfinite(scale) and scale >= MIN_SCALE):
+        return np.full((POINTS, 3), np.nan)
+    out[:, :2] = (xy - centre) / scale
+    return out
+
+
+def angles_from(points: np.ndarray) -> np.ndarray:
+    xy = points[:, :2]
+    a, b, c = (xy[list(k)] for k in zip(*ANGLES, strict=True))
+    u, v = a - b, c - b
+    size = np.hypot(u[:, 0], u[:, 1]) * np.hypot(v[:, 0], v[:, 1])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cosine = np.where(size == 0, np.nan, (u * v).sum(1) / size)
+    return np.degrees(np.arccos(np.clip(cosine, -1, 1))) / 180
+
+
+def features_of(pose, width: float, height: float) -> np.ndarray:
+    points = normal_points(pose, width, height)
+    return np.concatenate([points.reshape(-1), angles_from(points)])
+
+
+def angles_of(pose, width: float, height: float) -> np.ndarray:
+    return angles_from(normal_points(pose, width, height))
+
+
+def motion_of(features: np.ndarray) -> np.ndarray | None:
+    picked = features[MOTION]
+    return picked if np.isfinite(picked).all() else None
+
+
+def mirrored(rows: np.ndarray) -> np.ndarray:
+    return rows[..., MIRROR] * np.array(SIGN)
+
+
+def fill_gaps(rows: np.ndarray, most: int = 5) -> np.ndarray:
+    """Runs of at most `most` missing values per column on the straight line between their ends."""
+    out = rows.copy()
+    for col in range(rows.shape[1]):
+        known = np.flatnonzero(np.isfinite(rows[:, col]))
+        for a, b in zip(known[:-1], known[1:], strict=True):
+            if 1 < b - a <= most + 1:
+                k = np.arange(a + 1, b)
+                out[k, col] = (rows[b, col] - rows[a, col]) / (b - a) * (k - a) + rows[a, col]
+    return out
