@@ -96,20 +96,31 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def latent(model: Model, x: np.ndarray) -> np.ndarray:
-    z = (_scaled(x) * model.weight) @ model.axes
+def _units(z: np.ndarray) -> np.ndarray:
     return z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-9)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rank: int = 64, neighbours: int = 25) -> Model:
-    """The latent space is spanned by the leading right singular vectors of the scaled, variance-weighted features."""
-    s = _scaled(x)
-    weight = (1 / np.maximum(s.std(0), 0.02)).astype(np.float32) ** np.float32(0.5) if len(s) else np.ones(WIDTH, np.float32)
-    a = s * weight
-    _, vectors = np.linalg.eigh((a.T @ a).astype(np.float64))
-    axes = np.ascontiguousarray(vectors[:, ::-1][:, :rank].astype(np.float32))
-    model = Model(weight, axes, np.zeros((0, rank), np.float32), np.zeros(0, np.float32), neighbours)
-    return Model(weight, axes, latent(model, x), y.astype(np.float32), neighbours)
+def latent(model: Model, x: np.ndarray) -> np.ndarray:
+    return _units((_scaled(x) * model.weight) @ model.axes)
+
+
+def fit(s: np.ndarray, y: np.ndarray, rank: int = 64, neighbours: int = 25, rounds: int = 8) -> Model:
+    """From scaled features. The latent space is spanned by the leading right singular vectors of the variance-weighted
+    features, found by subspace iteration, so that beside the features only thin matrices are held."""
+    if not len(s):
+        return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, rank), np.float32), np.zeros((0, rank), np.float32), np.zeros(0, np.float32), neighbours)
+    a = s.astype(np.float32)
+    weight = np.empty(WIDTH, np.float32)
+    for i in range(0, WIDTH, 256):
+        weight[i : i + 256] = np.sqrt(1 / np.maximum(a[:, i : i + 256].std(0), 0.02))
+    a *= weight
+    q = np.random.default_rng(10).standard_normal((WIDTH, rank + 16), np.float32)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(a.T @ (a @ q))
+    thin = a @ q
+    _, turn = np.linalg.eigh((thin.T @ thin).astype(np.float64))
+    axes = np.ascontiguousarray(q @ turn[:, ::-1][:, :rank].astype(np.float32))
+    return Model(weight, axes, _units(a @ axes), y.astype(np.float32), neighbours)
 
 
 def score(model: Model, x: np.ndarray, block: int = 1024) -> np.ndarray:
@@ -132,7 +143,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = 4096, rank: int = 64, neighbours: int = 25) -> Model:
     """Fit on at most `sample` labelled documents that are not held out, the first in the order of a hash of their ids.
 
-    That bound makes the model's size (about 2 MB) and what comes to the driver (40 MB) independent of the input. Of
+    That bound makes the model's size (about 2 MB) and what comes to the driver (20 MB) independent of the input. Of
     repeated labels the smallest counts, of repeated ids the smallest text. Rows without id or label are passed over.
     With nothing to learn from, every score is 0.5.
     """
@@ -145,13 +156,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4096, rank: int = 64
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(b.column(b.schema.get_field_index("text")))
+            x = _scaled(features(b.column(b.schema.get_field_index("text")))).astype(np.float16)
             packed = pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], ["doc_id", "y", "x"])
 
     found = sorted(rows.mapInArrow(seen, "doc_id long, y int, x binary").collect())
-    x = np.stack([np.frombuffer(r.x, np.float32) for r in found]) if found else np.zeros((0, WIDTH), np.float32)
-    return fit(x, np.array([r.y for r in found], np.float32), rank, neighbours)
+    x = np.empty((len(found), WIDTH), np.float16)
+    for k, r in enumerate(found):
+        x[k] = np.frombuffer(r.x, np.float16)
+    y = np.array([r.y for r in found], np.float32)
+    del found
+    return fit(x, y, rank, neighbours)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
