@@ -78,37 +78,50 @@ def _xy(points: Column, p: int) -> tuple[Column, Column]:
     return F.get(points, F.lit(3 * p)), F.get(points, F.lit(3 * p + 1))
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def normalize_points(points: Column) -> Column:
     """Centred between the hips and divided by the mean torso length; all NULL where that is undefined or tiny."""
-    (lx, ly), (rx, ry) = (_xy(points, p) for p in HIPS)
-    cx, cy = present_mean(lx, rx), present_mean(ly, ry)
-    torso = [F.hypot(_xy(points, s)[0] - _xy(points, h)[0], _xy(points, s)[1] - _xy(points, h)[1]) for s, h in zip(SHOULDERS, HIPS, strict=True)]
-    scale = present_mean(*torso)
-    usable = (scale >= MIN_SCALE) & cx.isNotNull() & cy.isNotNull()
-    out = F.transform(points, lambda v, i: F.when(i % 3 == 0, F.try_divide(v - cx, scale)).when(i % 3 == 1, F.try_divide(v - cy, scale)).otherwise(v))
-    return F.when(usable, out).otherwise(F.transform(points, lambda v: F.lit(None).cast("double")))
+
+    def scaled(p: Column) -> Column:
+        (lx, ly), (rx, ry) = (_xy(p, h) for h in HIPS)
+        torso = [F.hypot(_xy(p, s)[0] - _xy(p, h)[0], _xy(p, s)[1] - _xy(p, h)[1]) for s, h in zip(SHOULDERS, HIPS, strict=True)]
+        frame = F.struct(present_mean(lx, rx).alias("x"), present_mean(ly, ry).alias("y"), present_mean(*torso).alias("scale"))
+
+        def placed(f: Column) -> Column:
+            usable = (f["scale"] >= MIN_SCALE) & f["x"].isNotNull() & f["y"].isNotNull()
+            moved = lambda v, i: F.when(i % 3 == 0, F.try_divide(v - f["x"], f["scale"])).when(i % 3 == 1, F.try_divide(v - f["y"], f["scale"])).otherwise(v)
+            return F.transform(p, lambda v, i: F.when(usable, moved(v, i)))
+
+        return bound(frame, placed)
+
+    return bound(points, scaled)
 
 
 def joint_angles(points: Column) -> Column:
     """The eight joint angles over 180."""
-    return F.array(*[angle(*(_xy(points, p) for p in corner)) / 180 for corner in ANGLES])
+    corner = lambda p, k: angle(*(_xy(p, n) for n in ANGLES[k])) / 180
+    return bound(points, lambda p: F.array(*[corner(p, k) for k in range(JOINTS)]))
 
 
 def frame_features(points: Column) -> Column:
-    return F.concat(points, joint_angles(points))
+    return bound(points, lambda p: F.concat(p, joint_angles(p)))
 
 
 def motion_vector(features: Column) -> Column:
     """What moves, or NULL if any of it is missing."""
-    picked = F.transform(F.array(*[F.lit(i) for i in MOTION]), lambda i: F.get(features, i))
-    return F.when(~F.exists(picked, lambda v: v.isNull()), picked)
+    pick = lambda f: F.transform(F.array(*[F.lit(i) for i in MOTION]), lambda i: F.get(f, i))
+    return bound(bound(features, pick), lambda m: F.when(~F.exists(m, lambda v: v.isNull()), m))
 
 
 def mirror(features: Column) -> Column:
     """Left and right swapped."""
     source = F.array(*[F.lit(i) for i in MIRROR])
     sign = F.array(*[F.lit(s) for s in SIGN])
-    return F.zip_with(source, sign, lambda i, s: F.get(features, i) * s)
+    return bound(features, lambda f: F.zip_with(source, sign, lambda i, s: F.get(f, i) * s))
 
 
 def row_missing(features: Column) -> Column:

@@ -24,7 +24,7 @@ def confusion(df: DataFrame, true: str, predicted: str) -> DataFrame:
 
 def worst_mistakes(df: DataFrame, true: str, predicted: str, top: int) -> DataFrame:
     """The most frequent directed mistakes."""
-    return confusion(df, true, predicted).where("true <> predicted").orderBy(F.desc("n"), "true", "predicted").limit(top)
+    return confusion(df, true, predicted).where(F.col("true") != F.col("predicted")).orderBy(F.desc("n"), F.col("true"), F.col("predicted")).limit(top)
 
 
 def f1_report(df: DataFrame, true: str, predicted: str, labels: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def pooled(scored: DataFrame, by: str, ambiguous: Column | None = None) -> DataF
     """Per group and in total: errors averaged over videos, precision and recall pooled over their marks.
     `scope` is the group, NULL in the total; with `ambiguous`, `clean_mae` leaves such videos out."""
     clean = F.lit(True) if ambiguous is None else ~F.coalesce(ambiguous, F.lit(False))
-    sets = scored.rollup(F.col(by).alias("scope")).agg(
+    sets = scored.withColumn("scope", F.col(by)).rollup("scope").agg(
         F.grouping("scope").cast("int").alias("is_total"),
         F.count("*").alias("videos"),
         F.avg("abs_error").alias("mae"),

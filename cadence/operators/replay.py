@@ -6,18 +6,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from cadence.kernels.base import Kernel
 from cadence.session import bound_arrow
 
 
-def _arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
 def replay(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel, names: dict[str, str] | None = None) -> DataFrame:
     """(keys, kernel.output): the kernel's rows for each key, its input rows in the given order.
 
@@ -29,10 +24,9 @@ def replay(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel, nam
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + kernel.output
     inputs = [df[k].alias(f"_k{n}") for n, k in enumerate(keys)] + [df[o].alias(f"_o{n}") for n, o in enumerate(order)] + [df[column[i]].alias(f"_i{n}") for n, i in enumerate(kernel.inputs)]
     n_keys, first = len(keys), len(keys) + len(order)
-    ddl = schema
+    made = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = _arrow_schema(ddl)
         key, state, rows = None, None, []
         started = False
 
