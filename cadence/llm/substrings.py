@@ -9,6 +9,7 @@ very many documents share makes at most one entry per chunk, whatever its freque
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,9 @@ from cadence.llm.groups import runs
 from cadence.llm.text import U, inside, mix, pieces, utf8, windows, word_hashes, words
 from cadence.session import bound_arrow, shuffle_width
 
-#: Bits of a window's hash, words of a chunk, buckets per shuffle partition.
-BITS, CHUNK, FINE = 48, 2_000_000, 4
+#: Bits of a window's hash where repeats are only candidates, and at the last length, where they decide; words of a
+#: chunk; buckets per shuffle partition.
+BITS, LAST_BITS, CHUNK, FINE = 48, 64, 1_000_000, 4
 ROWS = "bucket int, chunk long, kind int, payload binary"
 NAMES = ["bucket", "chunk", "kind", "payload"]
 TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
@@ -34,12 +37,18 @@ _TOP = U(1) << U(63)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned numbers in as few whole bytes as the largest needs, byte plane after byte plane."""
+    """Unsigned numbers in as few whole bytes as the largest needs, byte plane after byte plane; a plane whose bytes are
+    not evenly spread (the top ones) is entropy-coded."""
     out = [struct.pack("<B", len(arrays))]
     for a in arrays:
         a = np.ascontiguousarray(a, np.uint64)
         width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-        out += [struct.pack("<IB", len(a), width), a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+        out.append(struct.pack("<IB", len(a), width))
+        for plane in a.view(np.uint8).reshape(-1, 8)[:, :width].T:
+            raw = plane.tobytes()
+            small = _coder()[0].compress(raw) if len(raw) > 64 else raw
+            kept = small if len(small) < len(raw) else raw
+            out += [struct.pack("<I", len(kept)), kept]
     return b"".join(out)
 
 
@@ -48,12 +57,21 @@ def unpack(data: bytes) -> list[np.ndarray]:
     for _ in range(data[0]):
         n, width = struct.unpack_from("<IB", data, at)
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 5).reshape(width, n).T
+        at += 5
+        for k in range(width):
+            (size,) = struct.unpack_from("<I", data, at)
+            plane = data[at + 4 : at + 4 + size]
+            wide[:, k] = np.frombuffer(plane if size == n else _coder()[1].decompress(plane, max_output_size=n), np.uint8)
+            at += 4 + size
         out.append(wide.view(np.uint64).reshape(n))
-        at += 5 + n * width
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def _coder() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1, write_content_size=False), zstandard.ZstdDecompressor()
+
+
 def _gaps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=U(0))
 
@@ -126,9 +144,9 @@ def _ask(out: _Rows, chunk: int, directory: _Directory, name: np.ndarray, pos: n
         told = name[at[size > 1]]
         columns = [pos[asked].astype(np.uint64)]
     name = name[asked]
-    edges = (np.arange(buckets + 1, dtype=np.uint64) << U(BITS)) // U(buckets) + U(1)
-    edges[0] = 0
-    cut, told_cut = np.searchsorted(name, edges), np.searchsorted(told, edges)
+    bits = LAST_BITS if last else BITS
+    edges = np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)
+    cut, told_cut = (np.append(np.searchsorted(x, edges), len(x)) for x in (name, told))
     for b in range(buckets):
         i, j, s, t = cut[b], cut[b + 1], told_cut[b], told_cut[b + 1]
         if j > i or t > s:
@@ -150,7 +168,7 @@ def _first(base: int, buckets: int, last: bool, most: int):
             source = np.concatenate([[0], np.cumsum(counts)])[:-1][order]
             h = h[np.arange(len(h)) + np.repeat(source - offsets[:-1], counts[order])]
             pos = np.flatnonzero(inside(offsets, base))
-            _ask(out, serial, _Directory(ids[order], keys[order], offsets), windows(h, base)[pos] >> U(64 - BITS), pos, buckets, last)
+            _ask(out, serial, _Directory(ids[order], keys[order], offsets), windows(h, base)[pos] >> U(64 - (LAST_BITS if last else BITS)), pos, buckets, last)
             serial, held, total = serial + 1, [], 0
 
         for b in batches:
@@ -253,7 +271,7 @@ def _double(length: int, buckets: int, last: bool):
                     end = directory.offsets[np.searchsorted(directory.offsets, pos, side="right")]
                     whole = (pos[other] == pos + length) & (pos + 2 * length <= end)
                 with np.errstate(over="ignore"):
-                    joined = mix(name[whole] * U(0xD6E8FEB86659FD93) + mix(name[other[whole]])) >> U(64 - BITS)
+                    joined = mix(name[whole] * U(0xD6E8FEB86659FD93) + mix(name[other[whole]])) >> U(64 - (LAST_BITS if last else BITS))
                 _ask(out, chunks[0], directory, joined, pos[whole], buckets, last)
                 yield from out.release()
         yield from out.release(True)
