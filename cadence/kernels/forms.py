@@ -75,7 +75,7 @@ HOLDS = frozenset(label for label, _, task, _ in CATALOG if task == "hold")
 def _corner(a, b, c):
     u, v = (a[0] - b[0], a[1] - b[1]), (c[0] - b[0], c[1] - b[1])
     size = math.hypot(*u) * math.hypot(*v)
-    return None if not size else math.degrees(math.acos(max(-1.0, min(1.0, (u[0] * v[0] + u[1] * v[1]) / size))))
+    return None if not size > 0 else math.degrees(math.acos(max(-1.0, min(1.0, (u[0] * v[0] + u[1] * v[1]) / size))))
 
 
 def _offset(a, p, b):

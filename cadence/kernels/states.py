@@ -126,6 +126,9 @@ class PoseFilter:
             return None
         out = []
         for i, p in enumerate(pose):
+            if p is None:
+                out.append(None)
+                continue
             got = dict(zip(("x", "y", "z", "visibility"), p, strict=True)) if not isinstance(p, dict) else dict(p)
             for axis in ("x", "y", "z"):
                 got[axis] = self.filters.setdefault((i, axis), OneEuro()).feed(got.get(axis), t)

@@ -157,6 +157,6 @@ def synthetic_poses(depth: np.ndarray, kind: str = "squat", jitter: float = 0.00
         for i, (x, y) in _STAND.items():
             dx, dy = moves.get(i, (0.0, 0.0))
             ex, ey = rng.standard_normal(2) * jitter
-            pose[i] = {"x": x + d * dx + ex, "y": y + d * dy + ey, "z": 0.0, "visibility": 0.9}
+            pose[i] = {"x": float(x + d * dx + ex), "y": float(y + d * dy + ey), "z": 0.0, "visibility": 0.9}
         out.append(pose)
     return out
