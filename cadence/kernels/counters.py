@@ -42,12 +42,12 @@ class SignalOptions:
 
 def period_of(x: np.ndarray, min_lag: int, min_confidence: float) -> int | None:
     """Lag of the shortest strong peak of the unbiased, normalised autocorrelation; None if there is none."""
-    c = x - x.mean()
-    energy = float(c @ c) / len(c)
-    if energy == 0:
+    n = len(x)
+    c = x - x.sum() / n
+    full = np.correlate(c, c, "full")[n - 1 :]
+    if full[0] == 0:
         return None
-    n = len(c)
-    r = np.array([float(c[: n - k] @ c[k:]) / (n - k) for k in range(n // 2 + 1)]) / energy
+    r = full[: n // 2 + 1] / np.arange(n, n - n // 2 - 1, -1) / (full[0] / n)
     inner = np.arange(max(min_lag, 1), len(r) - 1)
     peaks = inner[(r[inner] >= r[inner - 1]) & (r[inner] >= r[inner + 1]) & (r[inner] >= min_confidence)] if len(inner) else inner
     if not len(peaks):
@@ -56,6 +56,13 @@ def period_of(x: np.ndarray, min_lag: int, min_confidence: float) -> int | None:
     return int(strong[0])
 
 
+def quantile(ordered: np.ndarray, q: float) -> float:
+    """Linear between the sorted values."""
+    at = (len(ordered) - 1) * q
+    k = int(at)
+    return float(ordered[k] + (ordered[min(k + 1, len(ordered) - 1)] - ordered[k]) * (at - k))
+
+
 @dataclass
 class Zones:
     """Where the signal rests, where it is, and what has been counted."""
@@ -84,8 +91,9 @@ class Zones:
 
     def advance(self, x: np.ndarray, at_ms: float, o: SignalOptions) -> bool:
         """Take in a window that ends with the current value; true if a repetition ends here."""
-        low, high = np.percentile(x, (5, 95))
-        span = high - low
+        ordered = np.sort(x)
+        low, span = quantile(ordered, 0.05), quantile(ordered, 0.95)
+        span -= low
         if not span >= o.min_amplitude:
             return False
         lag = period_of(x, round_up(o.min_period_s * o.fps), o.min_confidence)
@@ -130,7 +138,9 @@ class SignalCounter(Kernel):
         if not is_number(v):
             return s, []
         s["smooth"] = v if s["smooth"] is None else self.o.smoothing * v + (1 - self.o.smoothing) * s["smooth"]
-        s["buffer"] = [*s["buffer"], s["smooth"]][-self.o.capacity :]
+        s["buffer"].append(s["smooth"])
+        if len(s["buffer"]) > self.o.capacity:
+            del s["buffer"][0]
         counted = s["zones"].advance(np.array(s["buffer"]), t, self.o)
         return s, [(s["zones"].count, float(t))] if counted else []
 
