@@ -33,6 +33,8 @@ MORE_RULES = (
     Rule("prefixed", r"(gh[pousr]_[A-Za-z0-9]+)", 1, 40),
 )
 RULES = BASE_RULES + MORE_RULES
+#: Paths of one blob are dealt to so many parts when findings are joined back; only blobs with findings are repeated.
+SALTS = 16
 LEDGER = "blob string, rule string, rule_version int, spans array<struct<start:long,end:long>>"
 
 
@@ -115,9 +117,10 @@ def find_secrets(versions: DataFrame, id_cols: list[str], ledger: DataFrame | No
     found = found.where(F.col("rule_version") == current[F.col("rule")])
     each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("kind"), F.col("rule").alias("rule"), s["end"].alias("end")))
     by_blob = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("found"))
-    paths = versions.select(*id_cols, blob_of(versions["text"]).alias("blob"))
+    paths = versions.select(*id_cols, blob_of(versions["text"]).alias("blob"), F.pmod(F.xxhash64(*id_cols), F.lit(SALTS)).alias("salt"))
+    by_blob = by_blob.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     none = F.array().cast("array<struct<start:long,kind:int,rule:string,end:long>>")
-    joined = paths.join(by_blob, "blob", "left").withColumn("found", F.coalesce("found", none))
+    joined = paths.join(by_blob, ["blob", "salt"], "left").withColumn("found", F.coalesce("found", none))
     counts = [_count(r.name).cast("long").alias(f"n_{r.name}") for r in rules]
     return joined.select(*id_cols, *counts, "found")
 
