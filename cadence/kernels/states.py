@@ -311,3 +311,23 @@ class RateLimiter(Kernel):
         self.say(s, text)
         said = self.release(s, t)
         return s, [] if said is None else [(float(t), said)]
+
+
+class Ema(Kernel):
+    """Exponential smoothing; missing values are passed over."""
+
+    inputs = ("ts_ms", "value")
+    output = "ts_ms double, smoothed double"
+
+    def __init__(self, weight: float) -> None:
+        self.weight = weight
+
+    def start(self):
+        return None
+
+    def step(self, s, row):
+        t, v = row
+        if v is None:
+            return s, []
+        s = v if s is None else self.weight * v + (1 - self.weight) * s
+        return s, [(float(t), float(s))]

@@ -5,22 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from cadence.kernels.base import Kernel
+from cadence.kernels.states import Ema, ValueFilter
+from cadence.operators.replay import replay
+
 
 def _order(key: str, *by: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy(*by)
 
 
-def ema(df: DataFrame, key: str, order: list[str], value: str, weight: float, name: str = "ema") -> DataFrame:
-    """weight * x + (1 - weight) * previous, seeded by the first value; missing values are passed over.
+class _Beside(Kernel):
+    """Carries order columns through a kernel that emits one row per value."""
+
+    def __init__(self, inner: Kernel, extra: int) -> None:
+        self.inner = inner
+        self.inputs = ("ts_ms", "value", *[f"o{k}" for k in range(extra)])
+
+    def start(self):
+        return self.inner.start()
+
+    def step(self, s, row):
+        s, out = self.inner.step(s, row[:2])
+        return s, [(*row[2:], r[-1]) for r in out]
 
-    A fold over the sorted values of a key that stays in the JVM. Its accumulator grows with the key's series, so series
-    beyond some ten thousand rows go to `cadence.operators.replay.replay` with the same step instead.
-    """
-    keep = df.where(F.col(value).isNotNull())
-    series = keep.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("s"))
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x["_v"]).otherwise(F.lit(weight) * x["_v"] + F.lit(1 - weight) * F.element_at(acc, -1))))
-    folded = series.withColumn("e", F.aggregate("s", F.array().cast("array<double>"), step))
-    return folded.select(key, F.explode(F.arrays_zip("s", "e")).alias("z")).select(key, *[F.col(f"z.s.{o}").alias(o) for o in order], F.col("z.e").alias(name))
+
+def _replayed(df: DataFrame, key: str, order: list[str], kernel: Kernel, time: str | None, value: str, name: str) -> DataFrame:
+    """A kernel with one row out per present value, beside the order columns of that row."""
+    rows = df.where(F.col(value).isNotNull())
+    out = replay(rows, [key], order, _Beside(kernel, len(order)), {"ts_ms": time or order[0], "value": value, **{f"o{k}": o for k, o in enumerate(order)}}, ", ".join(f"o{k} {df.schema[o].dataType.simpleString()}" for k, o in enumerate(order)))
+    return out.select(key, *[F.col(f"o{k}").alias(o) for k, o in enumerate(order)], F.col("v").alias(name))
+
+
+def ema(df: DataFrame, key: str, order: list[str], value: str, weight: float, name: str = "ema") -> DataFrame:
+    """weight * x + (1 - weight) * previous, seeded by the first value; missing values are passed over. A kernel, so the work
+    grows with the rows of a key and not with their square."""
+    return _replayed(df, key, order, Ema(weight), None, value, name)
 
 
 def rolling_quantiles(df: DataFrame, key: str, order: list[str], value: str, rows: int = 60, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -99,7 +118,7 @@ def sessions(df: DataFrame, key: str, time: str, order: list[str], gap_ms: float
 
 def rate_limit(df: DataFrame, key: str, time: str, order: list[str], text: str, gap_ms: float = 2000) -> DataFrame:
     """(key, said_ms, text): the newest waiting text, released by the first row at least `gap_ms` after the last release.
-    A fold over the sorted rows of a key; rows without text may release too."""
+    A fold over the sorted rows of a key, for short series; rows without text may release too. `RateLimiter` is the kernel."""
     rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(time).alias("_t"), F.col(text).alias("_x")))).alias("s"))
     out = "array<struct<said_ms:bigint,text:string>>"
     start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("string").alias("waiting"), F.array().cast(out).alias("out"))
@@ -115,26 +134,9 @@ def rate_limit(df: DataFrame, key: str, time: str, order: list[str], text: str,
 
 
 def one_euro(df: DataFrame, key: str, time: str, order: list[str], value: str, min_cutoff: float = 1.0, beta: float = 10.0, d_cutoff: float = 1.0) -> DataFrame:
-    """The adaptive low-pass as a fold: cutoff = min_cutoff + beta * |smoothed speed|. The first row, and rows on which time
-    does not advance, pass through and reset the speed; missing values pass through and change nothing."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(time).cast("double").alias("_t"), F.col(value).cast("double").alias("_v")))).alias("s"))
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("x"), none.alias("dx"), none.alias("t"), F.array().cast("array<double>").alias("out"))
-    alpha = lambda cutoff, dt: F.lit(1.0) / (F.lit(1.0) + F.lit(1.0) / (F.lit(6.283185307179586) * cutoff * dt))
-
-    def step(acc: Column, row: Column) -> Column:
-        v, dt = row["_v"], (row["_t"] - acc["t"]) / 1000
-        fresh = acc["t"].isNull() | (dt <= 0)
-        safe = F.when(dt > 0, dt).otherwise(F.lit(1.0))
-        ad = alpha(F.lit(d_cutoff), safe)
-        dx = F.when(fresh, F.lit(0.0)).otherwise(ad * ((v - acc["x"]) / safe) + (F.lit(1.0) - ad) * acc["dx"])
-        a = alpha(F.lit(min_cutoff) + F.lit(beta) * F.abs(dx), safe)
-        x = F.when(fresh, v).otherwise(a * v + (F.lit(1.0) - a) * acc["x"])
-        skip = v.isNull()
-        return F.struct(F.when(skip, acc["x"]).otherwise(x).alias("x"), F.when(skip, acc["dx"]).otherwise(dx).alias("dx"), F.when(skip, acc["t"]).otherwise(row["_t"]).alias("t"), F.concat(acc["out"], F.array(F.when(skip, v).otherwise(x))).alias("out"))
-
-    folded = rows.select(key, "s", F.aggregate("s", start, step, lambda a: a["out"]).alias("e"))
-    return folded.select(key, F.explode(F.arrays_zip("s", "e")).alias("z")).select(key, *[F.col(f"z.s.{o}").alias(o) for o in order], F.col("z.e").alias("filtered"))
+    """The adaptive low-pass: cutoff = min_cutoff + beta * |smoothed speed|. The first row, and rows on which time does not
+    advance, pass through and reset the speed; rows without a value are passed over."""
+    return _replayed(df, key, order, ValueFilter(min_cutoff, beta, d_cutoff), time, value, "filtered")
 
 
 def smoothed_rate(df: DataFrame, key: str, time: str, order: list[str], weight: float = 0.1) -> DataFrame:

@@ -13,15 +13,16 @@ from cadence.kernels.base import Kernel
 from cadence.session import bound_arrow
 
 
-def replay(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel, names: dict[str, str] | None = None) -> DataFrame:
+def replay(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel, names: dict[str, str] | None = None, carried: str = "") -> DataFrame:
     """(keys, kernel.output): the kernel's rows for each key, its input rows in the given order.
 
     Rows are brought together by key and sorted in the shuffle; a task then streams through its keys with one state at a
-    time, so memory holds an Arrow batch and a state however long a series is. `names` maps kernel inputs to columns.
+    time, so memory holds an Arrow batch and a state however long a series is. `names` maps kernel inputs to columns;
+    `carried` declares columns that a kernel passes through before its one value.
     """
     bound_arrow(df.sparkSession)
     column = {i: (names or {}).get(i, i) for i in kernel.inputs}
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + kernel.output
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + (f"{carried}, v double" if carried else kernel.output)
     inputs = [df[k].alias(f"_k{n}") for n, k in enumerate(keys)] + [df[o].alias(f"_o{n}") for n, o in enumerate(order)] + [df[column[i]].alias(f"_i{n}") for n, i in enumerate(kernel.inputs)]
     n_keys, first = len(keys), len(keys) + len(order)
     made = to_arrow_schema(StructType.fromDDL(schema))
