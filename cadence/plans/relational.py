@@ -46,30 +46,43 @@ def vector_mean_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("label", F.posexplode("mean").alias("place", "m")).select("label", "place", r6("m").alias("mean"))
 
 
+#: Bits of a document's similarity hash: the signs of sums over its words' hashes.
+BITS = 60
+
+
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = F.transform(F.slice("e", 1, 60), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), F.array(F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, b: s.bitwiseOR(b))).alias("hashes"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    each = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(words).alias("w")).select("id", F.conv(F.substring(F.md5("w"), 1, BITS // 4), 16, 10).cast("bigint").alias("h"))
+    bit = lambda i: F.shiftright("h", i).bitwiseAND(F.lit(1).cast("bigint"))
+    sums = each.groupBy("id").agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)])
+    signs = [F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(BITS)]
+    total = signs[0]
+    for v in signs[1:]:
+        total = total + v
+    return sums.select("id", F.array(total).alias("hashes"))
 
 
-_HASH = f"{_EMB}, b AS (SELECT vec_id AS id, CAST(list_sum(list_transform(range(0, 60), lambda i: CASE WHEN e[i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT) AS h FROM v), p AS (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS DOUBLE) AS distance FROM b a JOIN b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 16)"
+_HASH = f"""w AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS w FROM documents), x AS (SELECT id, CAST('0x' || substr(md5(w), 1, {BITS // 4}) AS BIGINT) AS h FROM w),
+c AS (SELECT id, i, count(*) AS n, sum((h >> i) & 1) AS s FROM x, range({BITS}) r(i) GROUP BY id, i), b AS (SELECT id, CAST(sum(CASE WHEN 2 * s > n THEN CAST(1 AS BIGINT) << i ELSE 0 END) AS BIGINT) AS h FROM c GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS DOUBLE) AS distance FROM b a JOIN b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 6)"""
 
 
 @query(f"WITH {_HASH}, k AS (SELECT h, min(id) AS r FROM b GROUP BY h), q AS (SELECT a, b, distance FROM p JOIN b x ON x.id = p.a JOIN b y ON y.id = p.b JOIN k i ON i.h = x.h AND i.r = p.a JOIN k j ON j.h = y.h AND j.r = p.b) SELECT a, b, distance FROM q")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_pairs(_hashed(spark, sf_dir), 16)
+    return dedup.near_pairs(_hashed(spark, sf_dir), 6)
 
 
 @query(f"""WITH RECURSIVE {_HASH}, l AS (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT id AS x, id AS c FROM b UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.x),
 m AS (SELECT x AS id, min(c) AS component FROM r GROUP BY x) SELECT id, component, printf('g%04d', dense_rank() OVER (ORDER BY component) - 1) AS group_id FROM m""")
 def duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.duplicate_groups(_hashed(spark, sf_dir), 16)
+    return dedup.duplicate_groups(_hashed(spark, sf_dir), 6)
 
 
-@query(f"""WITH RECURSIVE {_HASH}, th AS (SELECT unnest([14, 16]) AS t), l AS (SELECT t, a AS x, b AS y FROM p, th WHERE distance <= t UNION ALL SELECT t, b, a FROM p, th WHERE distance <= t),
+@query(f"""WITH RECURSIVE {_HASH}, th AS (SELECT unnest([3, 6]) AS t), l AS (SELECT t, a AS x, b AS y FROM p, th WHERE distance <= t UNION ALL SELECT t, b, a FROM p, th WHERE distance <= t),
 r AS (SELECT t, id AS x, id AS c FROM b, th UNION SELECT r.t, l.y, r.c FROM r JOIN l ON l.x = r.x AND l.t = r.t), m AS (SELECT t, x, min(c) AS c FROM r GROUP BY t, x), s AS (SELECT t, c, count(*) AS n FROM m GROUP BY t, c HAVING count(*) > 1)
 SELECT CAST(th.t AS INT) AS threshold, count(s.n) AS groups, CAST(coalesce(sum(s.n), 0) AS BIGINT) AS grouped FROM th LEFT JOIN s ON s.t = th.t GROUP BY th.t""")
 def duplicate_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.threshold_sensitivity(_hashed(spark, sf_dir), [14, 16])
+    return dedup.threshold_sensitivity(_hashed(spark, sf_dir), [3, 6])
 
 
 @query("""WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS r, CAST(sum(n) OVER (PARTITION BY source) AS BIGINT) AS size FROM n)
