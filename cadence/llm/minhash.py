@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadence.llm.groups import runs
@@ -84,22 +84,15 @@ def _set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(s: Shingling):
-    factors = np.random.default_rng(s.seed + 1).integers(1, 2**63, (s.bands, s.rows), dtype=np.uint64) | U(1)
-
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = utf8(b.column(2))
             for i, j in pieces(off):
                 sets = shingle_sets(s, buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 sig = np.stack([signature(s, x) for x in sets])
-                with np.errstate(over="ignore"):
-                    banded = mix((sig.reshape(-1, s.bands, s.rows).astype(np.uint64) * factors).sum(2, dtype=np.uint64) + np.arange(s.bands, dtype=np.uint64) * U(0xE7037ED1A0B428DB))
-                filled = np.array([len(x) > 0 for x in sets])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * s.bands, pa.int32()), pa.array(banded.view(np.int64).reshape(-1)))
-                lists = pa.array([v if k else None for v, k in zip(lists, filled, strict=True)], lists.type) if not filled.all() else lists
                 one, two = _set_keys(sets)
                 sketch = pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(one), pa.array(two), pa.array([len(x) for x in sets], pa.int64()), sketch, lists], ["id", "text_key", "k1", "k2", "n", "sketch", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(one), pa.array(two), pa.array([len(x) for x in sets], pa.int64()), sketch], ["id", "text_key", "k1", "k2", "n", "sketch"])
 
     return printed
 
@@ -257,6 +250,12 @@ def _in_cells(df: DataFrame, keys: list[str]) -> DataFrame:
     return spread.repartition(shuffle_width(df.sparkSession), *keys, "one", "two").sortWithinPartitions(*keys, "one", "two")
 
 
+def _bands(s: Shingling) -> Column:
+    """A number per band: its place and a byte of each of its coordinates."""
+    band = lambda b: F.conv(F.hex(F.substring("sketch", b * s.rows + 1, s.rows)), 16, 10).cast("long") + F.lit(b << 8 * s.rows)
+    return F.array(*[band(b) for b in range(s.bands)])
+
+
 def near_duplicates(docs: DataFrame, s: Shingling = Shingling()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_key) of every row; documents are linked where
     100 * intersection >= percent * union of their shingle sets, and components are those of the links.
@@ -273,11 +272,11 @@ def near_duplicates(docs: DataFrame, s: Shingling = Shingling()) -> DataFrame:
     spark = docs.sparkSession
     bound_arrow(spark)
     own = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)).alias("id"), F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("text_key"), docs["text"].alias("text"))
-    prints = cut(own.mapInArrow(_prints(s), "id long, text_key long, k1 long, k2 long, n long, sketch binary, bands array<long>"))
-    classes = prints.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "rep", "k1", "k2", "n", "sketch", "bands"))
+    prints = cut(own.mapInArrow(_prints(s), "id long, text_key long, k1 long, k2 long, n long, sketch binary"))
+    classes = prints.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "rep", "k1", "k2", "n", "sketch"))
     bucket = Window.partitionBy("bucket")
-    banded = classes.select("cid", F.explode("bands").alias("bucket"))
+    banded = classes.select("cid", F.explode(_bands(s)).alias("bucket"))
     banded = banded.withColumn("rows", F.count("*").over(bucket)).withColumn("place", F.row_number().over(bucket.orderBy("cid"))).where("rows > 1")
     banded = banded.select("bucket", "cid", ((F.col("place") - 1) / s.block).cast("int").alias("side"), F.ceil(F.col("rows") / s.block).cast("int").alias("blocks"))
     proposed = _in_cells(banded.join(classes.select("cid", "sketch"), "cid"), ["bucket"])
