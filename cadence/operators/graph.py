@@ -5,30 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadence.operators.skew import with_totals
 from cadence.session import cut
 
 MAX_ROUNDS = 60
 
 
-def _nearest(links: DataFrame, least: str, heavy: int) -> DataFrame:
-    """links(u, v) with the smallest of u and its neighbours beside each row.
-
-    Nodes with more than `heavy` links are joined by broadcast: there are at most links / heavy of them. The rest have
-    no hot key left.
-    """
-    low = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias(least), "n")
-    tagged = links.join(F.broadcast(low.where(F.col("n") > heavy).drop("n")), "u", "left")
-    light = tagged.where(F.col(least).isNull()).drop(least).join(low.where(F.col("n") <= heavy).drop("n"), "u")
-    return tagged.where(F.col(least).isNotNull()).unionByName(light)
+def _nearest(links: DataFrame, least: str, rows: int, heavy: int) -> DataFrame:
+    """links(u, v) with the smallest of u and its neighbours beside each row."""
+    return with_totals(links, ["u"], {"m": F.min("v")}, rows, heavy=heavy).select("u", "v", F.least("u", "m").alias(least))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", heavy_nodes: int = 1000, heavy_links: int = 1000) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", heavy: int = 1000) -> DataFrame:
     """(node, component) for every node that occurs in `edges`; a component is named by its smallest node.
 
     Alternating star contraction: each round hangs every node's larger neighbours, then its smaller ones, under the
     smallest node in sight, so the number of rounds grows with the logarithm of the longest path. Minima are
-    pre-aggregated before the shuffle; in the join back, nodes with more than 1 / `heavy_nodes` of all links (and more than
-    `heavy_links`) are broadcast, at most 2 * `heavy_nodes` rows, so no node with very many neighbours is a hot key.
+    pre-aggregated before the shuffle, and joined back so that no node with very many neighbours is a hot key.
     Edges with a null end and loops only contribute their nodes; nulls vanish.
     """
     own = cut(edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")))
@@ -37,10 +30,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", h
     mark = (star.count(), None)
     for _ in range(MAX_ROUNDS):
         both = star.select("u", "v").unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        heavy = max(heavy_links, mark[0] // heavy_nodes)
-        large = _nearest(both, "least", heavy).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        large = _nearest(both, "least", 2 * mark[0], heavy).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         large = large.where("u <> v").distinct()
-        small = _nearest(large, "least", heavy)
+        small = _nearest(large, "least", mark[0], heavy)
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct(F.col("u").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.u", "e.v")
         star = cut(small.where("u <> v").distinct())
         seen = star.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
