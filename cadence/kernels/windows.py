@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from cadence.kernels.base import Kernel, round_up
-from cadence.kernels.pose import features_of, fill_gaps
+from cadence.kernels.pose import features_of, fill_gaps, mirrored
 
 # Fixed values of the feature windows.
 FPS, LENGTH, STRIDE, GAP, MISSING = 15.0, 30, 15, 5, 0.3
@@ -74,3 +74,45 @@ class WindowStream(Kernel):
 
     def finish(self, s):
         return self._release(s, True)
+
+
+class FeatureStream(WindowStream):
+    """(k, missing, features) per tick, gaps filled, as soon as no later frame can change a row."""
+
+    output = "k int, missing boolean, features array<double>"
+
+    def start(self):
+        return super().start() | {"next": 0}
+
+    def _release(self, s, tail: bool) -> list[tuple]:
+        total = s["offset"] + len(s["rows"])
+        stop = total if tail else total - DELAY
+        if stop <= s["next"]:
+            return []
+        filled = fill_gaps(np.array(s["rows"]), GAP)
+        out = []
+        for k in range(s["next"], stop):
+            row = filled[k - s["offset"]]
+            known = np.isfinite(row)
+            out.append((k, bool(not known.all()), [float(v) if ok else None for v, ok in zip(row, known, strict=True)]))
+        s["next"] = stop
+        keep = max(s["offset"], stop - CONTEXT)
+        s["rows"], s["offset"] = s["rows"][keep - s["offset"] :], keep
+        return out
+
+
+def reference_stages(poses: list, times, width: float, height: float) -> dict:
+    """What every stage makes of one recording: a fixture to hold other implementations against."""
+    rows = sequence_features(poses, times, width, height)
+    cut = cut_windows(rows)
+    plain = lambda a: [[None if not np.isfinite(v) else round(float(v), 6) for v in r] for r in a]
+    return {
+        "resample_indices": nearest_rows(np.asarray(times, float)).tolist(),
+        "features": plain(rows),
+        "missing": (~np.isfinite(rows).all(axis=1)).tolist(),
+        "window_starts": [a for a, _, _ in cut],
+        "missing_ratio": [m for _, _, m in cut],
+        "usable": [m <= MISSING for _, _, m in cut],
+        "windows": [plain(w) for _, w, _ in cut],
+        "flipped_first_window": plain(mirrored(cut[0][1])) if cut else [],
+    }

@@ -70,3 +70,22 @@ def test_image_hashes(spark):
     h = [r.hash for r in hash_frames(df).collect()]
     near, far = spark.createDataFrame([(h[0], h[1]), (h[0], h[2])], "a bigint, b bigint").select(hamming(F.col("a"), F.col("b")).alias("d")).collect()
     assert near.d <= 6 < far.d
+
+
+def test_feature_rows_and_dataset(spark, frames):
+    from cadence.kernels.windows import reference_stages, sequence_features
+    from cadence.operators import features
+
+    rows = features.sequence_features(frames).where("video_id = 'curl_1'").orderBy("k").collect()
+    raw = frames.where("video_id = 'curl_1'").orderBy("ts_ms").collect()
+    poses = [None if r.pose is None else [None if p is None else p.asDict() for p in r.pose] for r in raw]
+    want = sequence_features(poses, [r.ts_ms for r in raw], 640, 480)
+    got = np.array([[np.nan if v is None else v for v in r.features] for r in rows])
+    assert got.shape == want.shape and (np.isnan(got) == np.isnan(want)).all() and np.nanmax(np.abs(got - want)) < 1e-12
+    stages = reference_stages(poses, [r.ts_ms for r in raw], 640, 480)
+    assert len(stages["windows"]) == len(stages["usable"]) and stages["missing"][:3] == [True] * 3
+    split = spark.createDataFrame([("squat_1", "train"), ("curl_1", "val")], "video_id string, split string")
+    data = features.window_dataset(frames, split)
+    assert {(r.split, r.label, r.y) for r in data.collect()} == {("train", "squat", 1), ("val", "curl", 0)}
+    counts = {r.split: (r.kept, r.dropped) for r in features.window_counts(frames, split).collect()}
+    assert counts["train"][0] == data.where("split = 'train'").count() and counts["train"][1] == 0
