@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.functions.scalars import group_name, hamming
 from cadence.operators.graph import connected_components
+from cadence.operators.skew import numbered
 
 
 def mean_distance(a: str, b: str):
@@ -53,8 +54,7 @@ def duplicate_groups(hashed: DataFrame, threshold: int, id_col: str = "id", hash
     found = connected_components(links, "a", "b")
     named = hashed.select(F.col(id_col).alias("id")).join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
     roots = named.select("component").distinct()
-    number = roots.withColumn("number", F.dense_rank().over(Window.orderBy("component")) - 1)
-    return named.join(number, "component").select("id", "component", group_name(F.col("number")).alias("group_id"))
+    return named.join(numbered(roots, "component", "number"), "component").select("id", "component", group_name(F.col("number")).alias("group_id"))
 
 
 def threshold_sensitivity(hashed: DataFrame, thresholds: list[int], id_col: str = "id", hashes: str = "hashes") -> DataFrame:
