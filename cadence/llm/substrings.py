@@ -315,7 +315,8 @@ def repeated_runs(docs: DataFrame, window: int = 20, base: int = 10, chunk: int
     """(r_id, r_key, covered): per document with repeats, the runs of words that some window of `window` words covers
     whose sequence also starts earlier (smaller id, or same document and earlier start).
 
-    window = base * 2 ** k. All of it is one lazy plan: hash, then for each length ask by bucket and answer by chunk.
+    window = base * 2 ** k. All of it is one lazy plan: hash, then for each length ask by bucket and answer by chunk. `docs`
+    should be read from files or be checkpointed: a task that runs again must see its rows in the same order.
     """
     levels = (window // base).bit_length() - 1
     if base << levels != window or base < 1:
