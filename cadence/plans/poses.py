@@ -118,3 +118,56 @@ def pca_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"label": [frame["label"].iloc[0]], "variance": [round(float(w[-1]), 6)], "axis": [a.round(6).tolist()]})
 
     return terms.groupBy("label").applyInPandas(axis, "label int, variance double, axis array<double>")
+
+
+def _videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recordings as a table of frames; every seventh frame has no pose."""
+    s = _sequence(spark, sf_dir)
+    k = F.row_number().over(Window.partitionBy("group").orderBy("vec_id")) - 1
+    seen = F.when(F.col("vec_id") % 7 != 0, F.col("pose"))
+    return s.select(F.concat(F.lit("v"), "group").alias("video_id"), F.when(F.col("group") % 2 == 0, "squat").otherwise("curl").alias("label"), k.alias("frame_idx"), "ts_ms", seen.alias("pose"), "width", "height")
+
+
+@query("""WITH f AS (SELECT 'v' || label AS video_id, CASE WHEN label % 2 = 0 THEN 'squat' ELSE 'curl' END AS cls, vec_id % 7 <> 0 AS seen FROM embeddings), v AS (SELECT video_id, cls, count(*) AS n_frames, count(*) FILTER (seen) AS n_detected FROM f GROUP BY ALL)
+SELECT cls AS label, count(*) AS n_videos, CAST(sum(n_frames) AS BIGINT) AS n_frames, CAST(sum(n_detected) AS BIGINT) AS n_detected, 0.9 AS vis_hip, round(100.0 * sum(n_detected) / sum(n_frames), 6) AS detected_pct, 'balanced' AS side FROM v GROUP BY cls""")
+def quality_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadence.operators import quality
+
+    c = quality.by_class(quality.video_quality(_videos(spark, sf_dir)))
+    return c.select("label", "n_videos", "n_frames", "n_detected", r6("vis_hip").alias("vis_hip"), r6("detected_pct").alias("detected_pct"), "side")
+
+
+@query()
+def quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadence.operators import quality
+
+    v = quality.video_quality(_videos(spark, sf_dir))
+    return quality.findings(quality.by_class(v), v)
+
+
+@query()
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cadence.operators import features
+
+    rows = features.sequence_features(_videos(spark, sf_dir))
+    return rows.groupBy("video_id").agg(F.count("*").alias("ticks"), F.count_if("missing").alias("missing"))
+
+
+@query()
+def window_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """243 summary features per usable window, as a model's input."""
+    from cadence.operators import features, models
+
+    w = features.feature_windows(_videos(spark, sf_dir)).where("usable").select("video_id", "start", "rows")
+    return models.summary_features(w).select("video_id", "start", F.size("summary").alias("features"), r6(F.get("summary", F.lit(0))).alias("first"))
+
+
+@query()
+def counter_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score the pose counter on the recordings, with a mark every two seconds as the truth."""
+    from cadence.operators import evaluate
+
+    frames_of = _videos(spark, sf_dir)
+    marks = frames_of.where(F.col("frame_idx") % 20 == 10).groupBy("video_id", "label").agg(F.array_sort(F.collect_list(F.col("ts_ms").cast("long"))).alias("m"))
+    sheet = marks.select("video_id", "label", F.size("m").cast("string").alias("rep_count"), F.array_join(F.transform("m", lambda t: t.cast("string")), ";").alias("rep_timestamps_ms"), F.lit("false").alias("is_ambiguous"))
+    return evaluate.score(frames_of, sheet, "generic")
