@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.llm.groups import runs
 from cadence.llm.text import LOWER, U, mix, pieces, utf8, windows, word_hashes, words
 from cadence.operators.graph import connected_components
+from cadence.operators.skew import with_totals
 from cadence.session import bound_arrow, cut, shuffle_width
 
 
@@ -29,7 +30,7 @@ class Shingling:
 
     `bands` bands of `rows` coordinates: a pair at 0.8 shares none with probability (1 - 0.8 ** 5) ** 30 = 7e-6. Of the
     150 coordinates at least `screen` must agree in a byte: five standard deviations below a pair at 0.8.
-    `weight` bounds a verification block, in shingles."""
+    `block` and `weight` are the size of a block in rows and in shingles."""
 
     length: int = 5
     percent: int = 80
@@ -275,16 +276,16 @@ def near_duplicates(docs: DataFrame, s: Shingling = Shingling()) -> DataFrame:
     prints = cut(own.mapInArrow(_prints(s), "id long, text_key long, k1 long, k2 long, n long, sketch binary"))
     classes = prints.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "rep", "k1", "k2", "n", "sketch"))
-    bucket = Window.partitionBy("bucket")
-    banded = classes.select("cid", F.explode(_bands(s)).alias("bucket"))
-    banded = banded.withColumn("rows", F.count("*").over(bucket)).withColumn("place", F.row_number().over(bucket.orderBy("cid"))).where("rows > 1")
-    banded = banded.select("bucket", "cid", ((F.col("place") - 1) / s.block).cast("int").alias("side"), F.ceil(F.col("rows") / s.block).cast("int").alias("blocks"))
+    count = classes.count()
+    banded = with_totals(classes.select("cid", F.explode(_bands(s)).alias("bucket")), ["bucket"], {}, s.bands * count, least=2)
+    blocks = F.ceil(F.col("group_rows") / s.block).cast("int")
+    banded = banded.select("bucket", "cid", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("side"), blocks.alias("blocks"))
     proposed = _in_cells(banded.join(classes.select("cid", "sketch"), "cid"), ["bucket"])
     groups = connected_components(proposed.mapInArrow(_screened(s), "a long, b long"), "a", "b").withColumnRenamed("node", "cid").withColumnRenamed("component", "comp")
-    comp = Window.partitionBy("comp")
-    load = F.sum(F.col("n") + s.weight // 1000).over(comp.orderBy("cid").rowsBetween(Window.unboundedPreceding, -1))
-    groups = groups.join(classes.select("cid", "rep", "k1", "k2", "n"), "cid").withColumn("side", F.floor(F.coalesce(load, F.lit(0)) / s.weight).cast("int"))
-    groups = groups.withColumn("blocks", F.max("side").over(comp) + 1).select("cid", "comp", "rep", "k1", "k2", "side", "blocks")
+    groups = groups.join(classes.select("cid", "rep", "k1", "k2", "n"), "cid")
+    groups = with_totals(groups, ["comp"], {"load": F.sum(F.col("n") + s.weight // 1000)}, count)
+    blocks = F.ceil(F.col("load") / s.weight).cast("int")
+    groups = groups.select("cid", "comp", "rep", "k1", "k2", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("side"), blocks.alias("blocks"))
     texts = own.select("id", "text").join(groups, F.col("id") == F.col("rep")).select("cid", "comp", "k1", "k2", "side", "blocks", "text")
     sets = texts.mapInArrow(_sets(s), "cid long, comp long, side int, blocks int, set binary")
     linked = connected_components(_in_cells(sets, ["comp"]).mapInArrow(_verified(s), "a long, b long"), "a", "b")
