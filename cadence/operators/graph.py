@@ -5,40 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.skew import with_totals
 from cadence.session import cut
 
 MAX_ROUNDS = 60
 
 
-def _nearest(links: DataFrame, least: str, rows: int, heavy: int) -> DataFrame:
+def _nearest(links: DataFrame, least: str) -> DataFrame:
     """links(u, v) with the smallest of u and its neighbours beside each row."""
-    return with_totals(links, ["u"], {"m": F.min("v")}, rows, heavy=heavy).select("u", "v", F.least("u", "m").alias(least))
+    low = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias(least))
+    return links.join(low, "u")
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", heavy: int = 1000) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node that occurs in `edges`; a component is named by its smallest node.
 
     Alternating star contraction: each round hangs every node's larger neighbours, then its smaller ones, under the
     smallest node in sight, so the number of rounds grows with the logarithm of the longest path. Minima are
-    pre-aggregated before the shuffle, and joined back so that no node with very many neighbours is a hot key.
+    pre-aggregated before the shuffle; rows are pairs of longs, and callers hand in spanning forests rather than all pairs,
+    so that the rows of a node with very many neighbours, which meet in one task of the join back, stay light.
     Edges with a null end and loops only contribute their nodes; nulls vanish.
     """
     own = cut(edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")))
     nodes = own.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
     star = cut(own.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = (star.count(), None)
+    mark = None
     for _ in range(MAX_ROUNDS):
         both = star.select("u", "v").unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both, "least", 2 * mark[0], heavy).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        large = _nearest(both, "least").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         large = large.where("u <> v").distinct()
-        small = _nearest(large, "least", mark[0], heavy)
+        small = _nearest(large, "least")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct(F.col("u").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.u", "e.v")
         star = cut(small.where("u <> v").distinct())
         seen = star.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(seen) == mark:
+        if seen == mark:
             break
-        mark = tuple(seen)
+        mark = seen
     else:
         raise RuntimeError("connected_components did not settle")
     return nodes.join(star, nodes.node == star.u, "left").select("node", F.coalesce("v", "node").alias("component"))

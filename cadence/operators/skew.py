@@ -1,28 +1,13 @@
-"""Group totals, numbers and hash samples without a hot key or a single task."""
+"""Numbers and hash samples without a single task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.session import cut
 
 
-def with_totals(df: DataFrame, keys: list[str], totals: dict[str, Column], rows: int, parts: int = 1000, heavy: int = 1000, least: int = 1) -> DataFrame:
-    """The rows of groups of at least `least` rows, with `group_rows` and the named aggregates of their group.
-
-    Aggregates are combined before they are shuffled. Groups with more than 1 / `parts` of the `rows` rows of df (and more
-    than `heavy`) come by broadcast: at most `parts` rows. The others are joined by key, and none of them is hot.
-    """
-    names = df.columns
-    limit = max(heavy, rows // parts)
-    sums = df.groupBy(*keys).agg(F.count("*").alias("group_rows"), *[c.alias(n) for n, c in totals.items()])
-    tagged = df.join(F.broadcast(sums.where(F.col("group_rows") > limit)), keys, "left")
-    hot = tagged.where(F.col("group_rows").isNotNull())
-    cold = tagged.where(F.col("group_rows").isNull()).select(*names).join(sums.where((F.col("group_rows") >= least) & (F.col("group_rows") <= limit)), keys)
-    return hot.unionByName(cold)
-
-
 def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
     """Rows numbered from 0 in order of `by`, without one task that sees them all: ranges are sorted by themselves, and
     start where the counts of the ranges before them end (one row per range)."""
