@@ -269,6 +269,13 @@ def near_duplicates(docs: DataFrame, s: Shingling = Shingling()) -> DataFrame:
     nothing; rows without doc_id count as the largest ids; rows that share an id are
     told apart by their text; repeated rows get the same result; other columns are not read; an empty table gives no rows.
     """
+    number = lambda c: F.nullif(F.col(c), F.lit(2**63 - 1))
+    return _components(docs, s).select(number("id").alias("doc_id"), F.col("n").alias("n_shingles"), number("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"), "text_key")
+
+
+def _components(docs: DataFrame, s: Shingling) -> DataFrame:
+    """(id, text_key, n, component_id, component) of every row: ids can repeat, so different components can share their
+    least id `component_id`, but not their number `component`; it is null for rows without shingles."""
     spark = docs.sparkSession
     bound_arrow(spark)
     own = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)).alias("id"), F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("text_key"), docs["text"].alias("text"))
@@ -290,21 +297,24 @@ def near_duplicates(docs: DataFrame, s: Shingling = Shingling()) -> DataFrame:
     linked = connected_components(_in_cells(sets, ["comp"]).mapInArrow(_verified(s), "a long, b long"), "a", "b")
     named = classes.select("cid", "rep", "k1", "k2", "n").join(linked, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("k1", "k2", F.col("n").alias("c_n"), "component_id")
+    named = named.join(least, "component").select("k1", "k2", F.col("n").alias("c_n"), "component_id", "component")
     slim = prints.select("id", "text_key", "k1", "k2", "n")
     full = slim.where("n > 0").join(named.withColumnRenamed("k1", "c1").withColumnRenamed("k2", "c2"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") == F.col("c_n")))
-    none = slim.where("n = 0").withColumn("component_id", F.col("id"))
-    columns = ["id", "text_key", "n", "component_id"]
-    every = full.select(*columns).unionByName(none.select(*columns))
-    number = lambda c: F.nullif(F.col(c), F.lit(2**63 - 1))
-    return every.select(number("id").alias("doc_id"), F.col("n").alias("n_shingles"), number("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"), "text_key")
+    none = slim.where("n = 0").withColumns({"component_id": F.col("id"), "component": F.lit(None).cast("long")})
+    columns = ["id", "text_key", "n", "component_id", "component"]
+    return full.select(*columns).unionByName(none.select(*columns))
 
 
 def one_of_each(docs: DataFrame, s: Shingling = Shingling()) -> DataFrame:
-    """The rows of `docs`, with all columns, that are kept: the document with the smallest id of each component."""
-    kept = near_duplicates(docs, s).where("kept").select(F.col("doc_id").alias("k_id"), "text_key").distinct()
-    keyed = docs.withColumn("k_text", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["k_id"]) & (keyed["k_text"] == kept["text_key"]), "left_semi").drop("k_text")
+    """One row of `docs`, with all columns, of each component: that with the smallest id, then the least hash of its text,
+    then of its other columns. Rows without shingles are components of their own; if id and text are equal, of one."""
+    lone = lambda c: F.when(F.col("component").isNull(), F.col(c))
+    kept = _components(docs, s).groupBy("component", lone("id").alias("l_id"), lone("text_key").alias("l_key")).agg(F.min(F.struct("id", "text_key")).alias("k"))
+    kept = kept.select(F.col("k.id").alias("k_id"), F.col("k.text_key").alias("k_key"))
+    others = [docs[f.name] for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)).alias("k_id"), F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("k_key"), F.xxhash64(F.lit(0), *others).alias("k_rest"))
+    place = F.row_number().over(Window.partitionBy("k_id", "k_key").orderBy("k_rest"))
+    return rows.join(kept, ["k_id", "k_key"], "left_semi").withColumn("place", place).where("place = 1").select("row.*")
 
 
 def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,17 @@ def test_repeated_ids(spark):
     assert got == [(0, 0, True), (1, 0, False), (1, 1, True), (1, 1, True)]
 
 
+def test_one_row_of_each_component(spark):
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, "a b c d e f", "u"), (1, "a b c d e f", "u"), (1, "x y z", "u"), (0, "x y z", "u"), (1, "other words in this one", "u")]
+    rows += [(7, long, "u"), (7, long + " end", "u"), (None, "p q r s t", "u"), (None, "p q r s t", "v"), (None, "P q r s t", "u"), (8, "", "u"), (8, "", "u"), (9, None, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k_id string").repartition(3)
+    kept = one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(str((r.doc_id, (r.text or "").lower()[:9])) for r in kept.collect())
+    assert got == sorted(map(str, [(1, "a b c d e"), (0, "x y z"), (1, "other wor"), (7, "w0 w1 w2 "), (None, "p q r s t"), (8, ""), (9, "")]))
+
+
 def test_signature_estimates_similarity():
     s, rng = Shingling(), np.random.default_rng(4)
     errors = []
