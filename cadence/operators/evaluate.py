@@ -48,8 +48,7 @@ def score(frames: DataFrame, labels: DataFrame, name: str, tolerance_ms: float =
     """One scored row per labelled video with frames; not applicable (status 'n/a', no metrics) where the counter does not
     support the label."""
     supports = REGISTRY[name][1]
-    known = {r[0]: supports(r[0]) for r in labels.select("label").distinct().limit(10_000).collect()}
-    able = F.col("label").isin(*[k for k, v in known.items() if v]) if any(known.values()) else F.lit(False)
+    able = F.udf(lambda label: label is not None and bool(supports(label)), "boolean")(F.col("label"))
     counted = count_reps(frames.drop("label").join(labels.where(able).select("video_id"), "video_id", "left_semi"), name, **options)
     truth = labels.select("video_id", "label", (F.col("is_ambiguous") == "true").alias("ambiguous"), int_list(F.col("rep_timestamps_ms")).alias("truth_ms"), able.alias("able"))
     present = frames.select("video_id").distinct()

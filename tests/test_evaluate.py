@@ -89,3 +89,13 @@ def test_feature_rows_and_dataset(spark, frames):
     assert {(r.split, r.label, r.y) for r in data.collect()} == {("train", "squat", 1), ("val", "curl", 0)}
     counts = {r.split: (r.kept, r.dropped) for r in features.window_counts(frames, split).collect()}
     assert counts["train"][0] == data.where("split = 'train'").count() and counts["train"][1] == 0
+
+
+def test_support_of_many_labels(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(evaluate, "count_reps", lambda frames, name, **options: frames.select("video_id").distinct().withColumn("rep_times", F.array().cast("array<double>")))
+    name = F.concat(F.lit("label "), F.col("id"))
+    labels = spark.range(10_050).select(F.col("id").cast("string").alias("video_id"), name.alias("label"), F.lit("false").alias("is_ambiguous"), F.lit("").alias("rep_timestamps_ms"))
+    got = evaluate.score(labels.select("video_id"), labels, "generic")
+    assert got.groupBy("status").count().collect() == [("ok", 10_050)]
