@@ -256,8 +256,9 @@ def param_grid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("params", r6("mae").alias("mae"), r6("obo").alias("obo"))
 
 
-def _session(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
-    e = events(spark, sf_dir).where((F.col("event_id") % 2 == odd) & (F.col("event_type") != "view"))
+def _session(spark: SparkSession, sf_dir: str, odd: int | None = None) -> DataFrame:
+    e = events(spark, sf_dir).where("event_type != 'view'")
+    e = e if odd is None else e.where(F.col("event_id") % 2 == odd)
     return e.groupBy(F.col("user_id").cast("string").alias("video_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t.cast("string")), ";").alias("rep_timestamps_ms")).withColumn("label", F.lit("squat"))
 
 
@@ -283,7 +284,7 @@ def row_rule_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def label_sheet_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label rules on a sheet made from `events`: marks in whole seconds, some of them broken on purpose."""
-    s = _session(spark, sf_dir, 0)
+    s = _session(spark, sf_dir)
     n = F.size(F.split("rep_timestamps_ms", ";"))
     odd = F.col("video_id").cast("int")
     sheet = s.select("video_id", F.when(odd % 11 == 0, "plank").otherwise("squat").alias("label"), F.when(odd % 4 == 0, n + 1).otherwise(n).cast("string").alias("rep_count"), "rep_timestamps_ms", F.lit("").alias("hold_start_ms"), F.when(odd % 6 == 0, "7").otherwise("").alias("hold_end_ms"), F.when(odd % 9 == 0, "maybe").otherwise("false").alias("is_ambiguous"), F.lit("").alias("notes"), F.lit("x").alias("labeler"), F.lit("2026-01-02T03:04:05Z").alias("labeled_at"))

@@ -31,3 +31,12 @@ def test_shuffles(spark, name, most):
 @pytest.mark.parametrize("name", ["near_duplicate_pairs", "interval_match_counts", "form_rule_eval"])
 def test_no_cross_joins(spark, name):
     assert "CartesianProduct" not in plan(QUERIES[name](spark, SF)) and "NestedLoop" not in plan(QUERIES[name](spark, SF))
+
+
+def test_label_sheet_reads_every_event(spark, monkeypatch):
+    from cadence.plans import relational
+
+    monkeypatch.setattr(relational.sheets, "label_problems", lambda sheet, manifest: sheet)
+    sheet = relational.label_sheet_problems(spark, "/root/testdata/sf0.001")
+    marks = sheet.selectExpr("sum(size(split(rep_timestamps_ms, ';')))").collect()[0][0]
+    assert marks == relational.events(spark, "/root/testdata/sf0.001").where("event_type <> 'view'").count()
