@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,37 +74,85 @@ def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, part = object(), 0
+def _parts(sizes: np.ndarray, starts: np.ndarray, first: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and numbers of parts: a conversation of over `longest` bytes is cut before the turn that would exceed them.
+    The conversation that comes first begins with part `first`."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    ends = np.append(starts[1:], len(sizes))
+    number = np.zeros(len(starts), np.int64)
+    number[:1] = first
+    if not (total[ends] - total[starts] > longest).any():
+        return starts, number
+    at, parts = [], []
+    for i, j, k in zip(starts.tolist(), ends.tolist(), number.tolist(), strict=True):
+        while True:
+            at.append(i)
+            parts.append(k)
+            stop = max(i + 1, int(np.searchsorted(total, total[i] + longest, side="right")) - 1)
+            if stop >= j:
+                break
+            i, k = stop, k + 1
+    return np.array(at), np.array(parts)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Tables of whole conversations (parts of `longest` bytes of longer ones) with starts and numbers of their parts,
+    wherever batches end: the part that is still open is carried on to the next batch."""
+    held: list[pa.RecordBatch] = []
+    weight = part = 0
     for b in batches:
         if not b.num_rows:
             continue
-        conv, empty, role, text = (b.column(k) for k in range(4))
-        data, turn, begin, end = assemble(role, text)
-        first = changes([conv, empty])
-        ends = np.append(first[1:], b.num_rows)
-        points = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-        learnt = np.array([r == LEARNT for r in role.to_pylist()], bool)
-        base = points[turn[first]]
-        owner = np.repeat(np.arange(len(first)), ends - first)
-        spans = pa.StructArray.from_arrays([pa.array((points[x] - base[owner])[learnt], pa.int32()) for x in (begin, end)], ["start", "end"])
-        held = np.concatenate([[0], np.cumsum(learnt)])
-        loss = pa.ListArray.from_arrays(pa.array(np.append(held[first], held[-1]), pa.int32()), spans)
-        ids, nulls = conv.to_numpy(zero_copy_only=False)[first], empty.to_numpy(zero_copy_only=False)[first]
-        parts = np.zeros(len(first), np.int32)
-        key = (ids[0], nulls[0])
-        parts[0] = part + 1 if key == last else 0
-        last, part = (ids[-1], nulls[-1]), int(parts[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=nulls), pa.array(parts), _strings(data, turn[np.append(first, b.num_rows)]), loss, pa.array((ends - first).astype(np.int32))], ["conv_id", "part", "text", "loss", "n_turns"])
-
-
-def format_conversations(turns: DataFrame) -> DataFrame:
+        held.append(b)
+        weight += int(_bytes(b).sum())
+        if weight <= longest and len(changes([pa.concat_arrays([held[0].column(k).slice(0, 1), b.column(k).slice(b.num_rows - 1)]) for k in (0, 1)])) == 1:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        size = _bytes(table)
+        starts, parts = _parts(size, changes([table.column(0), table.column(1)]), part, longest)
+        last = int(starts[-1])
+        if last:
+            yield table.slice(0, last), starts[:-1], parts[:-1]
+        held, part, weight = table.slice(last).to_batches(), int(parts[-1]), int(size[last:].sum())
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, *_parts(_bytes(table), changes([table.column(0), table.column(1)]), part, longest)
+
+
+def _bytes(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Bytes of each row's role and text."""
+    return np.diff(utf8(rows.column(2))[1]) + np.diff(utf8(rows.column(3))[1])
+
+
+def _formatter(longest: int):
+    def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first, parts in _whole(batches, longest):
+            conv, empty, role, text = (table.column(k) for k in range(4))
+            data, turn, begin, end = assemble(role, text)
+            ends = np.append(first[1:], table.num_rows)
+            points = np.zeros(len(data) + 1, np.int64)
+            np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+            learnt = pc.equal(role, LEARNT).to_numpy(zero_copy_only=False).astype(bool)
+            base = points[turn[first]]
+            owner = np.repeat(np.arange(len(first)), ends - first)
+            spans = pa.StructArray.from_arrays([pa.array((points[x] - base[owner])[learnt], pa.int32()) for x in (begin, end)], ["start", "end"])
+            held = np.concatenate([[0], np.cumsum(learnt)])
+            loss = pa.ListArray.from_arrays(pa.array(np.append(held[first], held[-1]), pa.int32()), spans)
+            ids, nulls = conv.to_numpy()[first], empty.to_numpy()[first]
+            texts = _strings(data, turn[np.append(first, table.num_rows)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=nulls), pa.array(parts, pa.int32()), texts, loss, pa.array(ends - first, pa.int32())], ["conv_id", "part", "text", "loss", "n_turns"])
+
+    return formatted
+
+
+def format_conversations(turns: DataFrame, longest: int = 64 << 20) -> DataFrame:
     """(conv_id, part, text, loss, n_turns): each conversation as one training text with its loss mask, the code point
     spans of assistant texts.
 
-    Turns are brought together by conversation and sorted in the shuffle, then assembled batch by batch: a task holds one
-    Arrow batch, not a conversation. A conversation that a batch's end cuts through comes in several parts, in order.
+    Turns are brought together by conversation and sorted in the shuffle, then assembled in one buffer a time: a task
+    holds an Arrow batch and the conversation that is open at its end. A conversation is one row, wherever batches end.
+    Only one of over `longest` bytes of roles and texts comes in several parts, cut between turns by those sizes alone,
+    so that memory is bounded however long it is; a longer turn is a part of its own.
     Rows are ordered by turn (null first), then role, then text; repeated rows stay. Null role or text counts as empty;
     rows without conv_id form a conversation of their own; other columns are not read; an empty table gives no rows.
     """
@@ -111,7 +160,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     own = turns.select(turns["conv_id"].cast("long").alias("id"), turns["turn"].alias("turn"), F.coalesce(turns["role"], F.lit("")).alias("role"), F.coalesce(turns["text"], F.lit("")).alias("text"))
     own = own.select(F.coalesce("id", F.lit(0)).alias("id"), F.isnull("id").alias("empty"), "turn", "role", "text")
     dealt = own.repartition("id", "empty").sortWithinPartitions("id", "empty", "turn", "role", "text")
-    return dealt.select("id", "empty", "role", "text").mapInArrow(_format, FORMATTED)
+    return dealt.select("id", "empty", "role", "text").mapInArrow(_formatter(longest), FORMATTED)
 
 
 _TURN = re.compile(rb"<turn ([^<>]*)>\n([^<>]*)</turn>\n")
@@ -169,7 +218,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest_formatted(formatted: DataFrame) -> DataFrame:
     """Per conversation, what its formatted text holds when read back. Must follow `format_conversations` directly: the
-    parts of a conversation are digested as they come."""
+    parts of a very long conversation are digested as they come."""
     return formatted.mapInArrow(_digests, READ)
 
 

@@ -39,11 +39,36 @@ def test_edges(spark):
     assert digest_formatted(format_conversations(df.limit(0))).count() == 0
 
 
-def test_long_conversation_comes_in_parts():
-    def batch(n, conv):
-        return pa.RecordBatch.from_arrays([pa.array([conv] * n), pa.array([False] * n), pa.array(["assistant"] * n), pa.array(["t"] * n)], ["id", "empty", "role", "text"])
-
-    made = list(chat._format(iter([batch(3, 1), batch(2, 1), batch(1, 2)])))
-    assert [b.column(1).to_pylist() for b in made] == [[0], [1], [0]]
-    out = pa.Table.from_batches(list(chat._digests(iter(made)))).to_pydict()
-    assert out["n_turns"] == [5, 1] and out["loss_chars"] == [5, 1]
+def turns(n, conv, text="t"):
+    return pa.RecordBatch.from_arrays([pa.array([conv] * n), pa.array([False] * n), pa.array(["assistant"] * n), pa.array([text] * n)], ["id", "empty", "role", "text"])
+
+
+def test_a_conversation_is_one_row_wherever_batches_end():
+    whole = pa.Table.from_batches([turns(2, 1), turns(4, 2), turns(1, 3), turns(5, 4)]).combine_chunks()
+    want = None
+    for size in (1, 2, 3, 5, 12):
+        made = pa.Table.from_batches(list(chat._formatter(1 << 20)(iter(whole.to_batches(size)))))
+        assert made.column("conv_id").to_pylist() == [1, 2, 3, 4] and made.column("part").to_pylist() == [0] * 4
+        want = want or made.to_pydict()
+        assert made.to_pydict() == want
+
+
+def test_only_length_cuts_a_conversation():
+    """Parts of at most 45 bytes, of turns of 10 bytes: four turns each, wherever batches end."""
+    rows = [turns(3, 1), turns(3, 1), turns(4, 1), turns(1, 2), turns(1, 3, "t" * 99), turns(1, 3)]
+    whole = pa.Table.from_batches(rows).combine_chunks()
+    for size in (1, 2, 4, 13):
+        made = list(chat._formatter(45)(iter(whole.to_batches(size))))
+        table = pa.Table.from_batches(made)
+        assert list(zip(table.column("conv_id").to_pylist(), table.column("part").to_pylist(), table.column("n_turns").to_pylist(), strict=True)) == [(1, 0, 4), (1, 1, 4), (1, 2, 2), (2, 0, 1), (3, 0, 1), (3, 1, 1)]
+        out = pa.Table.from_batches(list(chat._digests(iter(made)))).to_pydict()
+        assert out["n_turns"] == [10, 1, 2] and out["loss_chars"] == [10, 1, 100]
+
+
+def test_conversation_over_a_real_batch_edge(spark):
+    """10,000 rows make an Arrow batch; the conversations around its edge stay whole."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(21000).select((F.col("id") / 7).cast("long").alias("conv_id"), (F.col("id") % 7).alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text"))
+    made = format_conversations(rows.coalesce(1)).groupBy("part", "n_turns").count().collect()
+    assert [tuple(r) for r in made] == [(0, 7, 3000)]
