@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,9 +28,14 @@ class Vocabulary:
     end_id: int = 1
 
 
+#: White space so long that the pattern of the rank form would run out of backtracking steps.
+LONG_BLANK = re.compile(r"\s{10000}")
+
+
 class Encoder:
-    """Ids as `tokenizers` gives them for the model file. Texts that hold a special token's string go to that library
-    itself; for all others the rank form of the same vocabulary gives the same ids several times faster."""
+    """Ids as `tokenizers` gives them for the model file. Texts that hold a special token's string or a very long run of
+    white space, or that the rank form refuses, go to that library itself; for all others the rank form of the same
+    vocabulary gives the same ids several times faster."""
 
     _made: dict[Vocabulary, Encoder] = {}
 
@@ -62,10 +68,14 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return self.end
-        if self.fast is None or any(s in text for s in self.special):
+        found = None
+        if self.fast is not None and not any(s in text for s in self.special) and not LONG_BLANK.search(text):
+            try:
+                found = np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except ValueError:
+                found = None
+        if found is None:
             found = np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        else:
-            found = np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
         return np.concatenate([found, self.end])
 
 
@@ -149,7 +159,7 @@ def _packer(vocabulary: Vocabulary, size: int, pool: int, id_col: str, with_ids:
                     row(doc, start, ids[start : start + size], len(ids), sequence, 0)
                     sequence += 1
                 if whole < len(ids):
-                    waiting.append((doc, whole, ids[whole:], len(ids)))
+                    waiting.append((doc, whole, ids[whole:].copy(), len(ids)))
                     held += len(ids) - whole
                     if held >= pool * size:
                         settle()
@@ -170,8 +180,8 @@ def pack_documents(docs: DataFrame, size: int = 2048, pool: int = 1024, vocabula
     ids at a time, and a task's sequences are numbered under its partition, so a task that runs again replaces all of
     its own sequences. Padding is less than one sequence per pool.
 
-    Null text counts as empty (the end id alone); repeated rows are packed as often as they come; a null id is kept;
-    other columns, whatever their names, are not read; an empty table gives no rows. `with_ids` adds the ids.
+    Null text counts as empty (the end id alone); a text is encoded whole, however long; pieces of equal length are placed
+    in the order of their rows; repeated rows are packed as often as they come; a null id is kept; other columns, whatever their names, are not read; an empty table gives no rows. `with_ids` adds the ids.
     """
     bound_arrow(docs.sparkSession)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))

@@ -51,6 +51,19 @@ def test_edges(spark):
     assert sum(r.length for r in twice) == 2 * twice[0].doc_tokens == sum(len(r.ids) for r in twice)
 
 
+def test_long_runs_of_one_kind():
+    encoder = Encoder.of(Vocabulary())
+    for c in (" ", "\n", "7", "a", "\u00a0"):
+        text = "x" + c * 2_000_000 + "y"
+        assert encoder.ids(text)[:-1].tolist() == EXACT.encode(text, add_special_tokens=False).ids
+
+
+def test_null_ids_and_ties(spark):
+    df = spark.createDataFrame([(None, "same text"), (None, "same text"), (5, "same text"), (None, None)], "doc_id long, text string")
+    got = pack_documents(df.coalesce(1)).collect()
+    assert len(got) == 4 and sum(r.doc_id is None for r in got) == 3 and len({r.offset for r in got}) == 4
+
+
 def test_assign_balances_cost():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 2048, 500)
