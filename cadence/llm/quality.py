@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm.text import PIECE, U, pieces, utf8, word_hashes, words
+from cadence.llm.text import U, pieces, utf8, word_hashes, words
 from cadence.session import bound_arrow
 
 #: Hash cells of byte pairs, of word shapes and of words; then the shares of words that repeat
 #: the word before, that don't, that are new to the text, that aren't.
 PAIRS, SHAPES, TERMS, SHARES = 1024, 512, 1024, 4
 WIDTH = PAIRS + SHAPES + TERMS + SHARES
+#: Bytes and rows whose features are held at a time: 512 rows of features are 5 MB, however short the texts.
+FEW_BYTES, FEW_ROWS = 512 << 10, 512
 #: Documents that score at least this are taken for good.
 THRESHOLD = 0.7
 #: Byte classes of a word's shape: lower, upper, digit, bytes of other letters, and each ASCII sign by itself.
@@ -69,11 +71,16 @@ def _piece(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Counts of byte pairs, word shapes and words in hash cells, and shares, of each whole text."""
+def featured(texts: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """Counts of byte pairs, word shapes and words in hash cells, and shares, of each whole text, in pieces of few rows."""
     buf, off = utf8(texts)
-    made = [_piece(buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in pieces(off, PIECE)]
-    return np.concatenate(made) if made else np.zeros((0, WIDTH), np.float32)
+    for i, j in pieces(off, FEW_BYTES, FEW_ROWS):
+        yield _piece(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+
+
+def features(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """All pieces of `featured` in one matrix, for few texts."""
+    return np.concatenate([np.zeros((0, WIDTH), np.float32), *featured(texts)])
 
 
 @dataclass(frozen=True)
@@ -135,6 +142,11 @@ def score(model: Model, x: np.ndarray, block: int = 1024) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
+def judge(model: Model, texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Scores of whole texts, piece by piece, so that memory is that of one piece's features."""
+    return np.concatenate([np.zeros(0), *(score(model, x) for x in featured(texts))])
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -156,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4096, rank: int = 64
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _scaled(features(b.column(b.schema.get_field_index("text")))).astype(np.float16)
-            packed = pa.array([r.tobytes() for r in x], pa.binary())
+            made = featured(b.column(b.schema.get_field_index("text")))
+            packed = pa.array([r.tobytes() for x in made for r in _scaled(x).astype(np.float16)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed], ["doc_id", "y", "x"])
 
     found = sorted(rows.mapInArrow(seen, "doc_id long, y int, x binary").collect())
@@ -171,17 +183,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4096, rank: int = 64
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row. Only the text is read for the score; null text counts as empty,
-    repeated rows and null ids are kept, other columns are ignored, and an empty table gives no rows."""
+    repeated rows and null ids are kept, other columns are ignored, and an empty table gives no rows. Texts are read
+    whole; a piece holds 512 rows or half a megabyte, or one longer text. Equal texts score equally up to rounding; labelled
+    vectors tied at the last place of the nearest count as the sort leaves them."""
     bound_arrow(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = score(shared.value, features(b.column(b.schema.get_field_index("text"))))
+            s = judge(shared.value, b.column(b.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], ["doc_id", "held_out", "score"])
 
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"].alias("text"))
-    scored = own.mapInArrow(judge, "doc_id long, held_out boolean, score double")
+    scored = own.mapInArrow(judged, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -192,7 +206,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(score(shared.value, features(b.column(b.schema.get_field_index("text")))) >= threshold))
+            yield b.filter(pa.array(judge(shared.value, b.column(b.schema.get_field_index("text"))) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)
 

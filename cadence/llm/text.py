@@ -10,8 +10,8 @@ import pyarrow as pa
 U = np.uint64
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes hashed at a time, and bytes of whole documents taken at a time.
-SLICE, PIECE = 1 << 20, 2 << 20
+#: Bytes hashed at a time, and bytes and rows of whole documents taken at a time.
+SLICE, PIECE, ROWS = 1 << 20, 2 << 20, 4096
 _rng = np.random.default_rng(20240229)
 BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 LOWER = BYTES.copy()
@@ -59,11 +59,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def pieces(off: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Runs of whole documents of about `most` bytes; a longer document stands alone."""
+def pieces(off: np.ndarray, most: int = PIECE, rows: int = ROWS) -> Iterator[tuple[int, int]]:
+    """Runs of at most `rows` whole documents of about `most` bytes; a longer document stands alone."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1))
         yield i, j
         i = j
 

@@ -37,6 +37,24 @@ def test_vote_is_the_exact_one(spark):
             assert abs((w * model.labels[chosen]).sum() / w.sum() - s) < 1e-4
 
 
+def test_pieces_do_not_change_scores():
+    import pyarrow as pa
+
+    from cadence.llm import quality
+
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(f"w{rng.integers(50)}" for _ in range(rng.integers(0, 60))) for _ in range(1300)] + [None, "", "z " * 600000])
+    model = quality.fit(quality._scaled(features(texts))[:300], np.arange(300) % 2)
+    assert max(len(x) for x in quality.featured(texts)) <= quality.FEW_ROWS
+    assert np.abs(quality.judge(model, texts) - score(model, features(texts))).max() < 1e-4
+
+
+def test_equal_texts_score_equally(spark):
+    docs = spark.createDataFrame([(k, "the same text 12", 1) for k in range(40)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    assert len({round(r.score, 9) for r in score_documents(docs, train(docs, labels)).collect()}) == 1
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (3, None)], "doc_id long, quality int")
     docs = spark.createDataFrame([(0, "a fine text", 1), (1, "### $$$ %%%", 1), (None, None, 1), (7, "", 1), (7, "x" * 200000, 1)], "doc_id long, text string, score int")
