@@ -1,7 +1,7 @@
 import duckdb
 import numpy as np
 
-from cadence.llm.collisions import OP3_SQL, Projections, calibrate, near_duplicates, op3_collision_links, tails
+from cadence.llm.collisions import OP3_SQL, Projections, _judged, calibrate, meetings, near_duplicates, op3_collision_links, places, sized, window_pairs
 
 
 def brute(rows):
@@ -44,19 +44,66 @@ def test_hot_cluster_in_cells(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_recall_is_calibrated():
-    p = Projections()
-    t, least = calibrate(p)
-    rng = np.random.default_rng(0)
-    a = rng.standard_normal((400, 64))
+def at_cosine(rng, n, dim, cosine):
+    a = rng.standard_normal((n, dim))
     a /= np.sqrt((a * a).sum(1))[:, None]
-    b = rng.standard_normal((400, 64))
+    b = rng.standard_normal((n, dim))
     b -= (a * b).sum(1)[:, None] * a
     b /= np.sqrt((b * b).sum(1))[:, None]
-    b = 0.9 * a + np.sqrt(1 - 0.81) * b
-    found = 0
-    (ra, ea, va), (rb, eb, vb) = tails(p, a), tails(p, b)
-    for k in range(400):
-        x, y = dict(zip(ea[ra == k], va[ra == k], strict=True)), dict(zip(eb[rb == k], vb[rb == k], strict=True))
-        found += sum(abs(x[e] - y[e]) <= p.window for e in x.keys() & y.keys()) >= least
-    assert found >= 0.98 * 400 and least >= 2
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+
+def judged(p, x):
+    """Links by the kernels alone, and the tally of pairs in windows and of pairs with enough collisions."""
+    (ends, values), (first, second) = places(p, x), meetings(p)
+    width = 2 * p.directions
+    met = (np.arange(len(first)) * width + ends[:, first]) * width + ends[:, second]
+    row, bucket = np.repeat(np.arange(len(x)), met.shape[1]), met.ravel()
+    order = np.argsort(bucket, kind="stable")
+    row, bucket = row[order], bucket[order]
+    cell = np.unique(bucket, return_inverse=True)[1]
+    none = np.zeros(len(row), bool)
+    i, j, tally = _judged(p, x[row], ends[row], values[row], cell, bucket // width**2, none, none)
+    return set(zip(np.minimum(row[i], row[j]).tolist(), np.maximum(row[i], row[j]).tolist(), strict=True)), len(i), tally
+
+
+def test_recall_is_calibrated():
+    p = Projections()
+    each, least = calibrate(p)
+    assert least >= 8 and len(meetings(p)[0]) == 72
+    a, b = at_cosine(np.random.default_rng(0), 2000, 64, 0.9 + 1e-9)
+    found, rows, _ = judged(p, np.concatenate([a, b]))
+    assert rows == len(found)
+    hit = sum((k, k + 2000) in found for k in range(2000))
+    print("recall at the threshold", hit / 2000, "least count", least, "of", p.families)
+    assert hit >= 0.994 * 2000
+
+
+def test_window_binds():
+    """Some pairs that share a projection stand outside of each other's window there."""
+    p = Projections()
+    a, b = at_cosine(np.random.default_rng(1), 4000, 64, 0.0)
+    (ea, va), (eb, vb) = places(p, a), places(p, b)
+    same = ea == eb
+    assert 0 < (np.abs(va - vb)[same] > p.window).mean() < 0.5
+
+
+def test_candidates_grow_with_the_rows():
+    """Pairs in windows per row stay bounded while the rows grow; hardly a pair of strangers has enough collisions."""
+    rng = np.random.default_rng(2)
+    each = {}
+    for n in (2_000, 10_000, 40_000):
+        p = sized(Projections(), n)
+        _, _, tally = judged(p, rng.standard_normal((n, 64)))
+        each[n] = tally["windows"] / n
+        print(n, "rows:", each[n], "pairs in windows a row,", tally["counted"], "counted enough")
+        assert tally["counted"] <= n / 1000
+    assert each[40_000] < 60
+    assert sized(Projections(), 4 * 10**6).directions == 2048 and sized(Projections(), 10**4).directions == 512
+
+
+def test_window_pairs_are_those_of_brute_force():
+    rng = np.random.default_rng(4)
+    cell, value = np.sort(rng.integers(0, 9, 300)), rng.random(300) * 5
+    got = [(min(i, j), max(i, j)) for a, b in window_pairs(cell, value, 0.5) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sorted(got) == [(i, j) for i in range(300) for j in range(i + 1, 300) if cell[i] == cell[j] and abs(value[i] - value[j]) <= 0.5]
