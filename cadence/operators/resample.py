@@ -1,6 +1,7 @@
 """Series by key: resampling to a fixed grid, bounded gap filling, hopping row windows and their summaries.
 
-All of it is window functions over one partitioning by key, so a chain of these operators shuffles once.
+All of it is window functions and groups over one partitioning by key, so a chain of these operators shuffles once. Frames
+end at their row, so the work is linear in the rows of a key.
 """
 
 from __future__ import annotations
@@ -21,13 +22,20 @@ def grid(df: DataFrame, key: str, time: str, step_ms: float) -> DataFrame:
     return ends.where("t0 is not null").select(key, "t0", F.explode(F.sequence(F.lit(0), count)).alias("k")).select(key, "k", (F.col("t0") + F.col("k") * F.lit(float(step_ms))).alias("grid_ms"))
 
 
+def _latest(value: str | Column, key: str, order: list[Column]) -> Column:
+    """The last value present up to each row. Looking ahead is the same in descending order: a frame that ends at the row
+    is carried along, one that begins there would be read anew for every row."""
+    past = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(value, ignorenulls=True).over(past)
+
+
 def _beside(df: DataFrame, key: str, time: str, values: list[str], step_ms: float) -> DataFrame:
     """Grid rows with the row before (`back`) and the row at or after (`ahead`) them. Grid rows sort before data at equal times."""
     data = df.where(F.col(time).isNotNull()).select(key, F.lit(None).cast("int").alias("k"), F.col(time).cast("double").alias("at"), F.lit(1).alias("kind"), F.struct(F.col(time).alias("t"), *values).alias("row"))
     ticks = grid(df, key, time, step_ms).select(key, "k", F.col("grid_ms").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(data.schema["row"].dataType).alias("row"))
-    order = Window.partitionBy(key).orderBy("at", "kind", "k", "row.t", *[F.col(f"row.{v}") for v in values])
-    back = F.last("row", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("row", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    order = ["at", "kind", "k", "row.t", *[f"row.{v}" for v in values]]
+    back = _latest("row", key, [F.col(c).asc() for c in order])
+    ahead = _latest("row", key, [F.col(c).desc() for c in order])
     return data.unionByName(ticks).select(key, "k", "at", "kind", back.alias("back"), ahead.alias("ahead")).where("kind = 0")
 
 
@@ -61,12 +69,8 @@ def sample_and_hold(df: DataFrame, key: str, time: str, values: list[str], step_
 
 def fill_gaps(df: DataFrame, key: str, index: str, values: list[str], most: int = 5) -> DataFrame:
     """Runs of at most `most` missing values between two present ones, filled on the straight line; nothing is extrapolated."""
-    past = Window.partitionBy(key).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    coming = Window.partitionBy(key).orderBy(index).rowsBetween(0, Window.unboundedFollowing)
-    out = df
-    for v in values:
-        known = F.when(F.col(v).isNotNull(), F.struct(F.col(index).alias("i"), F.col(v).cast("double").alias("v")))
-        out = out.withColumns({f"_a_{v}": F.last(known, ignorenulls=True).over(past), f"_b_{v}": F.first(known, ignorenulls=True).over(coming)})
+    known = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(index).alias("i"), F.col(v).cast("double").alias("v"))) for v in values}
+    out = df.withColumns({f"_a_{v}": _latest(k, key, [F.col(index).asc()]) for v, k in known.items()} | {f"_b_{v}": _latest(k, key, [F.col(index).desc()]) for v, k in known.items()})
     for v in values:
         a, b = F.col(f"_a_{v}"), F.col(f"_b_{v}")
         slope = F.try_divide(b["v"] - a["v"], (b["i"] - a["i"]).cast("double"))
@@ -80,19 +84,26 @@ def window_starts(rows: Column, length: int, stride: int) -> Column:
     return F.when(rows >= length, F.sequence(F.lit(0), (rows - length).cast("int"), F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
 
+def _in_windows(df: DataFrame, key: str, index: str, length: int, stride: int, columns: list[Column]) -> DataFrame:
+    """Each row once per window that holds it, with the window's `start`: length / stride rows, not a frame per row. The
+    windows of a key stay in its partition."""
+    first, last = F.greatest(F.lit(0), F.ceil((F.col(index) - length + 1) / stride)), F.floor(F.col(index) / stride)
+    starts = F.when(first <= last, F.sequence(first, last))
+    return df.select(key, index, *columns, F.explode(starts).alias("start")).withColumn("start", F.col("start") * stride)
+
+
 def hopping_windows(df: DataFrame, key: str, index: str, values: list[str], length: int = 30, stride: int = 15) -> DataFrame:
     """(key, start, missing_ratio, rows): `length` consecutive rows from every `stride`-th, full windows only.
 
     `index` numbers the rows of a key from 0. A row is missing if any value is; missing values read 0 in `rows`.
     """
-    ahead = Window.partitionBy(key).orderBy(index).rowsBetween(0, length - 1)
     missing = F.lit(False)
     for v in values:
         missing = missing | F.col(v).isNull()
     row = F.array(*[F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in values])
-    taken = df.select(key, index, F.collect_list(F.struct(F.col(index).alias("i"), row.alias("r"))).over(ahead).alias("rows"), F.avg(missing.cast("double")).over(ahead).alias("missing_ratio"))
-    full = taken.where((F.col(index) % stride == 0) & (F.size("rows") == length))
-    return full.select(key, F.col(index).alias("start"), "missing_ratio", F.transform("rows", lambda x: x["r"]).alias("rows"))
+    held = _in_windows(df, key, index, length, stride, [missing.cast("double").alias("missing"), F.struct(F.col(index).alias("i"), row.alias("r")).alias("row")])
+    full = held.groupBy(key, "start").agg(F.avg("missing").alias("missing_ratio"), F.array_sort(F.collect_list("row")).alias("rows")).where(F.size("rows") == length)
+    return full.select(key, F.col("start").cast(df.schema[index].dataType).alias("start"), "missing_ratio", F.transform("rows", lambda x: x["r"]).alias("rows"))
 
 
 def usable(windows: DataFrame, most: float = 0.3) -> DataFrame:
@@ -101,9 +112,9 @@ def usable(windows: DataFrame, most: float = 0.3) -> DataFrame:
 
 
 def summarize_windows(df: DataFrame, key: str, index: str, value: str, length: int, stride: int) -> DataFrame:
-    """(key, start, n, mean, std, min, max, range) of one value per hopping window, straight from window frames."""
-    ahead = Window.partitionBy(key).orderBy(index).rowsBetween(0, length - 1)
+    """(key, start, n, mean, std, min, max, range) of one value per hopping window; full windows only."""
     c = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    stats = {"n": F.count(F.lit(1)), "mean": F.avg(c), "std": F.stddev_pop(c), "min": F.min(c), "max": F.max(c), "missing_ratio": F.avg(F.col(value).isNull().cast("double"))}
-    out = df.select(key, index, *[s.over(ahead).alias(n) for n, s in stats.items()])
-    return out.where((F.col(index) % stride == 0) & (F.col("n") == length)).withColumn("range", F.col("max") - F.col("min")).withColumnRenamed(index, "start")
+    held = _in_windows(df, key, index, length, stride, [c.alias("_c"), F.col(value).isNull().cast("double").alias("_missing")])
+    stats = {"n": F.count(F.lit(1)), "mean": F.avg("_c"), "std": F.stddev_pop("_c"), "min": F.min("_c"), "max": F.max("_c"), "missing_ratio": F.avg("_missing")}
+    out = held.groupBy(key, "start").agg(*[s.alias(n) for n, s in stats.items()]).where(F.col("n") == length)
+    return out.withColumn("start", F.col("start").cast(df.schema[index].dataType)).withColumn("range", F.col("max") - F.col("min"))
