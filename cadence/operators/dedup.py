@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadence.functions.scalars import group_name, hamming
 from cadence.operators.graph import connected_components
 from cadence.operators.skew import numbered
+from cadence.session import cut
+
+
+#: Rows of the stated side of a distance matrix.
+MOST = 10_000
 
 
 def mean_distance(a: str, b: str):
@@ -16,26 +23,37 @@ def mean_distance(a: str, b: str):
 
 
 def distance_matrix(hashed: DataFrame, other: DataFrame, id_col: str = "id", hashes: str = "hashes") -> DataFrame:
-    """(a, b, distance) of a stated, small set against all rows."""
+    """(a, b, distance) of a stated set against all rows; the set is broadcast, so it holds MOST rows at most."""
+    if other.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"distance_matrix takes at most {MOST} rows against all others")
     left = other.select(F.col(id_col).alias("a"), F.col(hashes).alias("_a"))
     right = hashed.select(F.col(id_col).alias("b"), F.col(hashes).alias("_b"))
     return right.join(F.broadcast(left), F.lit(True)).select("a", "b", mean_distance("_a", "_b").alias("distance"))
 
 
+BANDS, WIDTH = 4, 16
+
+
+def _near_bands(flips: int) -> list[int]:
+    """What to flip in a band to get all bands within so many bits."""
+    return [sum(1 << i for i in which) for n in range(flips + 1) for which in combinations(range(WIDTH), n)]
+
+
 def near_pairs(hashed: DataFrame, threshold: int, id_col: str = "id", hashes: str = "hashes") -> DataFrame:
     """(a, b, distance) with a < b and a mean Hamming distance over the rows' hashes of at most `threshold`.
 
-    A mean of at most t means that some hash differs in at most t bits; of t + 1 bands of that hash one is then equal.
-    So rows meet on (hash number, band number, band) in an equi-join instead of all against all, and no pair is lost.
-    Rows with equal hashes are one row of the join. Rows whose hashes are missing pair with nothing.
+    A mean of at most t means that some hash differs in at most t bits, so one of its four bands in at most t / 4. Rows
+    meet in an equi-join of (hash number, band number, band) with the bands in that reach: no pair is lost, and at
+    threshold 10 strangers meet with a probability of 0.8 %, at 6 of 0.1 %. Rows with equal hashes are one row of the
+    join. Rows whose hashes are missing pair with nothing.
     """
-    bands = threshold + 1
     usable = hashed.where(F.col(hashes).isNotNull() & F.forall(hashes, lambda h: h.isNotNull()) & (F.size(hashes) > 0))
     classes = usable.groupBy(F.col(hashes).alias("h")).agg(F.min(id_col).alias("rep"))
-    edge = [64 * k // bands for k in range(bands + 1)]
-    cut = lambda h: F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.shiftleft(h, 64 - edge[k + 1]), 64 - edge[k + 1] + edge[k]).alias("bits")) for k in range(bands)])
-    keyed = classes.select("rep", "h", F.posexplode("h").alias("n", "one")).select("rep", "h", "n", F.explode(cut(F.col("one"))).alias("k")).select("rep", "h", F.size("h").alias("size"), "n", "k.band", "k.bits")
-    a, b = keyed.toDF(*[f"a_{c}" for c in keyed.columns]), keyed.toDF(*[f"b_{c}" for c in keyed.columns])
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("one", k * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)).alias("bits")) for k in range(BANDS)])
+    keyed = classes.select("rep", "h", F.posexplode("h").alias("n", "one")).select("rep", "h", "n", F.explode(bands).alias("k")).select("rep", "h", F.size("h").alias("size"), "n", "k.band", "k.bits")
+    near = F.array(*[F.lit(m).cast("long") for m in _near_bands(threshold // BANDS)])
+    a = keyed.toDF(*[f"a_{c}" for c in keyed.columns])
+    b = keyed.withColumn("bits", F.explode(F.transform(near, lambda m: F.col("bits").bitwiseXOR(m)))).toDF(*[f"b_{c}" for c in keyed.columns])
     same = (F.col("a_n") == F.col("b_n")) & (F.col("a_band") == F.col("b_band")) & (F.col("a_bits") == F.col("b_bits")) & (F.col("a_size") == F.col("b_size"))
     met = a.join(b, same & (F.col("a_rep") < F.col("b_rep"))).select("a_rep", "b_rep", "a_h", "b_h").withColumn("distance", mean_distance("a_h", "b_h")).where(F.col("distance") <= threshold)
     return met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), "distance").distinct()
@@ -48,20 +66,28 @@ def class_links(hashed: DataFrame, id_col: str = "id", hashes: str = "hashes") -
     return usable.join(least, F.col(hashes) == F.col("_h")).select("a", F.col(id_col).alias("b")).where("a <> b")
 
 
+def _components(hashed: DataFrame, pairs: DataFrame, same: DataFrame, id_col: str) -> DataFrame:
+    """(id, component) of every row; rows by themselves included."""
+    found = connected_components(pairs.select("a", "b").unionByName(same), "a", "b")
+    return hashed.select(F.col(id_col).alias("id")).join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def duplicate_groups(hashed: DataFrame, threshold: int, id_col: str = "id", hashes: str = "hashes") -> DataFrame:
     """(id, component, group_id): components of near pairs, numbered by their smallest member; rows by themselves included."""
-    links = near_pairs(hashed, threshold, id_col, hashes).select("a", "b").unionByName(class_links(hashed, id_col, hashes))
-    found = connected_components(links, "a", "b")
-    named = hashed.select(F.col(id_col).alias("id")).join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    hashed = cut(hashed.select(id_col, hashes))
+    named = _components(hashed, near_pairs(hashed, threshold, id_col, hashes), class_links(hashed, id_col, hashes), id_col)
     roots = named.select("component").distinct()
     return named.join(numbered(roots, "component", "number"), "component").select("id", "component", group_name(F.col("number")).alias("group_id"))
 
 
 def threshold_sensitivity(hashed: DataFrame, thresholds: list[int], id_col: str = "id", hashes: str = "hashes") -> DataFrame:
-    """(threshold, groups, grouped): components of more than one row, and the rows in them, for each threshold."""
+    """(threshold, groups, grouped): components of more than one row, and the rows in them, for each threshold. Pairs are
+    found once, at the largest threshold."""
+    hashed = cut(hashed.select(id_col, hashes))
+    pairs, same = cut(near_pairs(hashed, max(thresholds), id_col, hashes)), cut(class_links(hashed, id_col, hashes))
     out = None
     for t in thresholds:
-        sizes = duplicate_groups(hashed, t, id_col, hashes).groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = _components(hashed, pairs.where(F.col("distance") <= t), same, id_col).groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
         row = sizes.agg(F.lit(t).alias("threshold"), F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("grouped"))
         out = row if out is None else out.unionByName(row)
     return out
