@@ -135,7 +135,7 @@ def test_split(spark):
 def test_selection(spark):
     rows = [(f"v{k:02d}", "ab"[k % 2], f"g{k // 3}", ["mp4", "mov"][k % 5 == 0], float(k + 1), None if k % 7 else 0.0) for k in range(40)]
     pool = spark.createDataFrame(rows, "video_id string, label string, group_id string, ext string, duration_s double, detected_pct double")
-    kept, gone = split.drop_poseless(pool)
+    kept, gone = split.by_known_rate(pool)
     assert kept.count() + gone.count() == 40 and gone.count() == 6
     chosen = split.pick_diverse(kept, 5)
     got = chosen.collect()
@@ -263,3 +263,59 @@ def test_model_hook(spark):
     scored = class_scores(df, lambda x: np.stack([x.mean((1, 2)), x.std((1, 2))], 1))
     assert all(len(r.scores) == 2 for r in scored.collect()) and isinstance(got[0].summary[0], float)
     assert pd.notna(got[0].summary[0])
+
+
+def test_ladders_give_each_group_to_the_split_that_lacks_most():
+    import numpy as np
+
+    from cadence.operators.split import ladders
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 7, 60, 400):
+        sizes = np.sort(rng.integers(1, 6, n))[::-1]
+        total = int(sizes.sum())
+        goal = np.array([total - 2 * round(total * 0.15), round(total * 0.15), round(total * 0.15)])
+        lack, want = goal.copy(), []
+        for s in sizes:
+            want.append(int(lack.argmax()))
+            lack[want[-1]] -= s
+        assert ladders(sizes, goal).tolist() == want
+
+
+def test_long_series_of_one_key(spark):
+    """100,000 rows of one key: frames that start at each row would take hours."""
+    from pyspark.sql import functions as F
+
+    from cadence.operators import resample
+
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).alias("k0"), (F.col("id") * 40 + F.col("id") % 7).alias("t"), F.when(F.col("id") % 5 != 3, F.col("id") * 1.0).alias("v"))
+    near = resample.resample_nearest(rows, "k0", "t", ["v"], 50.0)
+    filled = resample.fill_gaps(near, "k0", "k", ["v"])
+    out = filled.agg(F.count("*"), F.count("v")).first()
+    assert out[0] == (40 * (n - 1) + (n - 1) % 7) // 50 + 1 and out[1] >= out[0] - 10
+    assert resample.sample_and_hold(rows, "k0", "t", ["v"], 50.0, arrival=True).count() == out[0]
+    windows = resample.hopping_windows(filled, "k0", "k", ["v"])
+    assert windows.count() == (out[0] - 30) // 15 + 1 and windows.where(F.size("rows") != 30).count() == 0
+
+
+def test_near_pairs_at_wide_thresholds(spark):
+    import numpy as np
+
+    from cadence.operators.dedup import near_pairs
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(2**63), 2**63, 12)
+    hashes = []
+    for k in range(240):
+        h = int(base[k % 12]) & (2**64 - 1)
+        for bit in rng.choice(64, rng.integers(0, 9), replace=False):
+            h ^= 1 << int(bit)
+        hashes.append(h - 2**64 if h >= 2**63 else h)
+    df = spark.createDataFrame([(k, [h]) for k, h in enumerate(hashes)], "id long, hashes array<long>")
+    first = {}
+    for k, h in enumerate(hashes):
+        first.setdefault(h, k)
+    for t in (0, 3, 10, 13):
+        want = sorted((a, b) for h, a in first.items() for g, b in first.items() if a < b and bin((h ^ g) & (2**64 - 1)).count("1") <= t)
+        assert sorted((r.a, r.b) for r in near_pairs(df, t).collect()) == want
