@@ -8,12 +8,28 @@ from pyspark.sql import functions as F
 from cadence.session import cut
 
 MAX_ROUNDS = 60
+SALTS = 8
 
 
-def _nearest(links: DataFrame, least: str) -> DataFrame:
-    """links(u, v) with the smallest of u and its neighbours beside each row."""
-    low = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias(least))
-    return links.join(low, "u")
+def _least(star: DataFrame, low: DataFrame, node: str, other: str) -> DataFrame:
+    """star(u, v) with the `least` neighbour of `node` where `low` has one, else v. A node can have very many neighbours,
+    so its rows are dealt by the `other` end to SALTS parts in the join; minima are two longs a node."""
+    parts = low.select(F.col("u").alias(node), "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = star.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    return dealt.join(parts, [node, "salt"], "left").select("u", "v", F.coalesce("least", "v").alias("least"))
+
+
+def _hang_larger(star: DataFrame) -> DataFrame:
+    """Each node's larger neighbours under the smallest node that it sees."""
+    low = star.groupBy("u").agg(F.min("v").alias("least"))
+    return _least(star, low, "v", "u").select("u", F.col("least").alias("v")).distinct()
+
+
+def _hang_smaller(star: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours under the smallest of them; only nodes with several need their minimum."""
+    low = star.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")).where("n > 1")
+    ends = F.explode(F.array("u", "v"))
+    return _least(star, low, "u", "v").select(ends.alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -21,8 +37,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Alternating star contraction: each round hangs every node's larger neighbours, then its smaller ones, under the
     smallest node in sight, so the number of rounds grows with the logarithm of the longest path. Minima are
-    pre-aggregated before the shuffle; rows are pairs of longs, and callers hand in spanning forests rather than all pairs,
-    so that the rows of a node with very many neighbours, which meet in one task of the join back, stay light.
+    pre-aggregated before the shuffle, and the neighbours of one node are dealt to several tasks.
     Edges with a null end and loops only contribute their nodes; nulls vanish.
     """
     own = cut(edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")))
@@ -30,12 +45,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     star = cut(own.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     for _ in range(MAX_ROUNDS):
-        both = star.select("u", "v").unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both, "least").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        large = large.where("u <> v").distinct()
-        small = _nearest(large, "least")
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct(F.col("u").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.u", "e.v")
-        star = cut(small.where("u <> v").distinct())
+        star = cut(_hang_smaller(_hang_larger(star)))
         seen = star.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if seen == mark:
             break
