@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     good = {r.doc_id for r in score_documents(raw, model).collect() if r.predicted}
     assert sorted(r.doc_id for r in after) == sorted(good) and 0 < len(after) < len(before)
     before, after = seen["lines"]
-    want = test_lines.brute([(r.doc_id, r.text) for r in before], 256)
+    want = test_lines.brute([(r.doc_id, r.text) for r in before])
     kept = {d: t for (d, _), (_, gone, t) in want.items() if not gone or t.strip()}
     assert {r.doc_id: r.text for r in after} == kept and all(r.n_chars == len(r.text) for r in after)
     before, after = seen["near_duplicates"]
