@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadence.llm.groups import runs
+from cadence.llm.groups import in_blocks, in_cells, runs, spanning
 from cadence.llm.text import LOWER, U, mix, pieces, utf8, windows, word_hashes, words
 from cadence.operators.graph import connected_components
-from cadence.session import bound_arrow, cut, shuffle_width
+from cadence.session import bound_arrow, cut
 
 
 @dataclass(frozen=True)
@@ -38,7 +38,7 @@ class Shingling:
     screen: int = 95
     circle: int = 22
     block: int = 1024
-    weight: int = 2_000_000
+    weight: int = 1_000_000
     seed: int = 2
 
     @property
@@ -97,29 +97,9 @@ def _prints(s: Shingling):
     return printed
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node) that span the same components as the edges a - b."""
-    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root = np.arange(len(names))
-    i, j = place[: len(a)], place[len(a) :]
-    pairs = np.unique(np.minimum(i, j) * len(names) + np.maximum(i, j))
-    for u, v in zip((pairs // len(names)).tolist(), (pairs % len(names)).tolist(), strict=True):
-        while root[u] != u:
-            root[u] = root[root[u]]
-            u = root[u]
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        root[max(u, v)] = min(u, v)
-    while (root[root] != root).any():
-        root = root[root]
-    other = root != np.arange(len(names))
-    return names[other], names[root[other]]
-
-
 def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     if a and sum(map(len, a)):
-        u, v = _forest(np.concatenate(a), np.concatenate(b))
+        u, v = spanning(np.concatenate(a), np.concatenate(b))
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
 
 
@@ -243,13 +223,6 @@ def _verified(s: Shingling):
     return verify
 
 
-def _in_cells(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with `side` of `blocks` in every cell (one <= two) they belong to, dealt and sorted by keys and cell."""
-    spread = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other")).drop("other", "blocks")
-    return spread.repartition(shuffle_width(df.sparkSession), *keys, "one", "two").sortWithinPartitions(*keys, "one", "two")
-
-
 def _bands(s: Shingling) -> Column:
     """A number per band: its place and a byte of each of its coordinates."""
     band = lambda b: F.conv(F.hex(F.substring("sketch", b * s.rows + 1, s.rows)), 16, 10).cast("long") + F.lit(b << 8 * s.rows)
@@ -261,8 +234,9 @@ def near_duplicates(docs: DataFrame, s: Shingling = Shingling()) -> DataFrame:
     100 * intersection >= percent * union of their shingle sets, and components are those of the links.
 
     Equal sets are collapsed first, so thousands of copies are one class. Buckets of equal bands and groups of proposed
-    documents are split into cells of bounded size that pair block with block, and a cell gives a spanning forest, never
-    its pairs. Screening splits proposals into tight groups; each document's full set travels once (once per cell, where
+    documents are split into cells of about bounded size that pair block with block, and a cell gives a spanning forest,
+    never its pairs. A pair at just 0.8 is lost where it shares no band (7e-6) or where fewer than `screen` of its
+    coordinates agree in a byte (3e-7). Screening splits proposals into tight groups; each document's full set travels once (once per cell, where
     a group is larger than a block) and every pair of such a group is decided by exact counts.
 
     Words are runs without ASCII white space with A-Z lowered. Null and empty texts have no shingles and link with
@@ -282,19 +256,14 @@ def _components(docs: DataFrame, s: Shingling) -> DataFrame:
     prints = cut(own.mapInArrow(_prints(s), "id long, text_key long, k1 long, k2 long, n long, sketch binary"))
     classes = prints.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "rep", "k1", "k2", "n", "sketch"))
-    bucket = Window.partitionBy("bucket")
-    banded = classes.select("cid", F.explode(_bands(s)).alias("bucket"))
-    banded = banded.withColumn("rows", F.count("*").over(bucket)).withColumn("place", F.row_number().over(bucket.orderBy("cid"))).where("rows > 1")
-    banded = banded.select("bucket", "cid", ((F.col("place") - 1) / s.block).cast("int").alias("side"), F.ceil(F.col("rows") / s.block).cast("int").alias("blocks"))
-    proposed = _in_cells(banded.join(classes.select("cid", "sketch"), "cid"), ["bucket"])
+    banded = in_blocks(classes.select("cid", F.explode(_bands(s)).alias("bucket")), ["bucket"], "cid", F.lit(1), s.block)
+    proposed = in_cells(banded.join(classes.select("cid", "sketch"), "cid"), ["bucket"])
     groups = connected_components(proposed.mapInArrow(_screened(s), "a long, b long"), "a", "b").withColumnRenamed("node", "cid").withColumnRenamed("component", "comp")
-    comp = Window.partitionBy("comp")
-    load = F.sum(F.col("n") + s.weight // 1000).over(comp.orderBy("cid").rowsBetween(Window.unboundedPreceding, -1))
-    groups = groups.join(classes.select("cid", "rep", "k1", "k2", "n"), "cid").withColumn("side", F.floor(F.coalesce(load, F.lit(0)) / s.weight).cast("int"))
-    groups = groups.withColumn("blocks", F.max("side").over(comp) + 1).select("cid", "comp", "rep", "k1", "k2", "side", "blocks")
+    groups = groups.join(classes.select("cid", "rep", "k1", "k2", "n"), "cid")
+    groups = in_blocks(groups, ["comp"], "cid", F.col("n") + s.weight // 500, s.weight).select("cid", "comp", "rep", "k1", "k2", "side", "blocks")
     texts = own.select("id", "text").join(groups, F.col("id") == F.col("rep")).select("cid", "comp", "k1", "k2", "side", "blocks", "text")
     sets = texts.mapInArrow(_sets(s), "cid long, comp long, side int, blocks int, set binary")
-    linked = connected_components(_in_cells(sets, ["comp"]).mapInArrow(_verified(s), "a long, b long"), "a", "b")
+    linked = connected_components(in_cells(sets, ["comp"]).mapInArrow(_verified(s), "a long, b long"), "a", "b")
     named = classes.select("cid", "rep", "k1", "k2", "n").join(linked, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("k1", "k2", F.col("n").alias("c_n"), "component_id", "component")
