@@ -166,6 +166,19 @@ def merge_labels(old: DataFrame, imported: DataFrame, key: str = "video_id") ->
     return old.join(imported.select(key), key, "left_anti").unionByName(imported)
 
 
+def in_both(first: DataFrame, second: DataFrame, key: str = "video_id") -> DataFrame:
+    """(key): keys of both sessions, each once."""
+    return first.select(key).intersect(second.select(key))
+
+
+def concatenated(parts: list[DataFrame]) -> DataFrame:
+    """All rows of parts with the same columns, one part after the other; repeated rows stay."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def count_share(df: DataFrame, by: str) -> DataFrame:
     n = df.groupBy(by).agg(F.count("*").alias("n"))
     return n.join(n.agg(F.sum("n").alias("total")), F.lit(True)).select(by, "n", ratio(F.col("n"), F.col("total")).alias("share"))

@@ -135,3 +135,11 @@ def pick_traces(scored: DataFrame, n: int) -> DataFrame:
     best = scored.where("abs_error = 0").orderBy(F.desc("truth"), "video_id").limit(1)
     worst = scored.where("abs_error > 0").orderBy(F.desc("abs_error"), "video_id").limit(n)
     return best.withColumn("_r", F.lit(0)).unionByName(worst.withColumn("_r", F.lit(1))).orderBy("_r", F.desc("abs_error"), "video_id").limit(n).drop("_r")
+
+
+def bucket_rollup(df: DataFrame, text: str, size: str, rules: list[tuple[str, str]], other: str, by: list[str] | None = None) -> DataFrame:
+    """(bucket, by, n, size): rows and their total size by the first (name, pattern) rule that a text matches."""
+    bucket = F.lit(other)
+    for name, pattern in reversed(rules):
+        bucket = F.when(F.col(text).rlike(pattern), name).otherwise(bucket)
+    return df.groupBy(bucket.alias("bucket"), *(by or [])).agg(F.count("*").alias("n"), F.sum(size).alias("size"))

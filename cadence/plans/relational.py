@@ -108,16 +108,19 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.stratified_split(_videos(spark, sf_dir))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT lang AS label, doc_id // 3 AS grp FROM documents), g AS (SELECT label, grp, count(*) AS n FROM v GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, grp) AS k FROM g),
+t AS (SELECT label, CAST(sum(n) AS BIGINT) AS total, CAST(CASE WHEN sum(n) >= 3 THEN greatest(1, round_even(sum(n) * 0.15, 0)) ELSE round_even(sum(n) * 0.15, 0) END AS BIGINT) AS v FROM g GROUP BY label),
+r AS (SELECT label, CAST(0 AS BIGINT) AS k, total - 2 * v AS a, v AS b, v AS c FROM t UNION ALL SELECT r.label, o.k, a - CASE WHEN a >= b AND a >= c THEN n ELSE 0 END, b - CASE WHEN b > a AND b >= c THEN n ELSE 0 END, c - CASE WHEN c > a AND c > b THEN n ELSE 0 END FROM r JOIN o ON o.label = r.label AND o.k = r.k + 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k DESC) AS last FROM r)
+SELECT label, total - 2 * v - a AS train, v - b AS val, v - c AS test, total FROM f JOIN t USING (label) WHERE last = 1""")
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_counts(split.stratified_split(_videos(spark, sf_dir)))
 
 
 @query("""SELECT o_orderpriority AS label, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p, count(*) AS total FROM orders GROUP BY 1""")
 def pivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ["F", "O", "P"]
-    t = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).pivot("o_orderstatus", kinds).count().na.fill(0, kinds)
-    return t.select("label", *[F.col(k).alias(k.lower()) for k in kinds], (F.col("F") + F.col("O") + F.col("P")).alias("total"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("label"), F.col("o_orderstatus").alias("split"))
+    return split.split_counts(o, ("F", "O", "P")).select("label", *[F.col(k).alias(k.lower()) for k in "FOP"], "total")
 
 
 @query("""SELECT l_returnflag AS label, count(*) AS rows, round(sum(l_quantity), 2) AS weight, round(sum(l_discount * l_quantity) / nullif(sum(l_quantity), 0), 8) AS discount, round(sum(l_tax * l_quantity) / nullif(sum(l_quantity), 0), 8) AS tax FROM lineitem GROUP BY 1""")
@@ -206,7 +209,11 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.count_metrics(counts)
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS}, c AS (SELECT user_id, t, CAST(row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS INT) AS j FROM e WHERE event_type = 'click'), q AS (SELECT user_id, t, CAST(row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS INT) AS i FROM e WHERE event_type = 'purchase'),
+x AS (SELECT user_id, i, j, row_number() OVER (PARTITION BY user_id ORDER BY abs(c.t - q.t), i, j) AS k FROM c JOIN q USING (user_id) WHERE abs(c.t - q.t) <= 86400000),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS a, CAST([] AS INT[]) AS b FROM c JOIN q USING (user_id) UNION ALL SELECT r.user_id, x.k, CASE WHEN list_contains(a, i) OR list_contains(b, j) THEN a ELSE list_append(a, i) END, CASE WHEN list_contains(a, i) OR list_contains(b, j) THEN b ELSE list_append(b, j) END FROM r JOIN x ON x.user_id = r.user_id AND x.k = r.k + 1),
+m AS (SELECT user_id, (SELECT count(*) FROM c WHERE c.user_id = z.user_id) AS predicted, (SELECT count(*) FROM q WHERE q.user_id = z.user_id) AS truth, matched FROM (SELECT user_id, max(len(a)) AS matched FROM r GROUP BY user_id) z)
+SELECT *, predicted - truth AS error, abs(predicted - truth) AS abs_error, abs(predicted - truth) <= 1 AS off_by_one, CAST(abs(predicted - truth) AS DOUBLE) / truth AS normalized_error, CAST(matched AS DOUBLE) / predicted AS precision, CAST(matched AS DOUBLE) / truth AS recall FROM m""")
 def greedy_match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir)
 
@@ -269,7 +276,9 @@ def session_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("n_videos", r6("exact").alias("exact"), r6("off_by_one").alias("off_by_one"), r6("mae").alias("mae"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS}, w AS (SELECT user_id, t, event_id % 2 AS s, CAST(row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY t) - 1 AS INT) AS k FROM e WHERE event_type <> 'view'), n AS (SELECT user_id, count(*) FILTER (s = 0) AS a, count(*) FILTER (s = 1) AS b FROM w GROUP BY user_id),
+r AS (SELECT user_id, 0 AS i, 0 AS j, 0 AS met FROM n WHERE a > 0 AND b > 0 UNION ALL SELECT r.user_id, r.i + CASE WHEN abs(x.t - y.t) <= 300 OR x.t < y.t THEN 1 ELSE 0 END, r.j + CASE WHEN abs(x.t - y.t) <= 300 OR x.t >= y.t THEN 1 ELSE 0 END, met + CASE WHEN abs(x.t - y.t) <= 300 THEN 1 ELSE 0 END FROM r JOIN w x ON x.user_id = r.user_id AND x.s = 0 AND x.k = r.i JOIN w y ON y.user_id = r.user_id AND y.s = 1 AND y.k = r.j)
+SELECT CAST(n.user_id AS VARCHAR) AS video_id, a AS "first", b AS "second", b - a AS difference, round(CAST(met AS DOUBLE) / greatest(a, b, 1), 6) AS timing_match FROM n JOIN (SELECT user_id, max(met) AS met FROM r GROUP BY user_id) USING (user_id)""")
 def session_agreement_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.agreement_rows(_session(spark, sf_dir, 0), _session(spark, sf_dir, 1)).withColumn("timing_match", r6("timing_match"))
 
@@ -281,7 +290,9 @@ def row_rule_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.explode(rules).alias("problem"))
 
 
-@query()
+@query(f"""WITH {EVENTS}, s AS (SELECT user_id AS u, CAST(user_id AS VARCHAR) AS video_id, list_sort(list(t)) AS marks, count(*) AS n FROM e WHERE event_type <> 'view' GROUP BY user_id), k AS (SELECT * FROM s WHERE u % 13 <> 0)
+SELECT video_id, 'video_id is not in the manifest' AS problem FROM s WHERE u % 13 = 0 UNION ALL SELECT video_id, 'label differs from the manifest' FROM k WHERE u % 11 = 0 UNION ALL SELECT video_id, 'is_ambiguous must be true or false' FROM k WHERE u % 9 = 0 UNION ALL SELECT video_id, 'rep_count differs from the number of marks' FROM k WHERE u % 4 = 0
+UNION ALL SELECT video_id, 'marks do not rise' FROM k WHERE len(list_distinct(marks)) < n UNION ALL SELECT video_id, 'mark outside the video' FROM k WHERE marks[1] < 0 OR marks[n] > 1600000000250 UNION ALL SELECT video_id, 'hold fields of a rep exercise' FROM k WHERE u % 6 = 0""")
 def label_sheet_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label rules on a sheet made from `events`: marks in whole seconds, some of them broken on purpose."""
     s = _session(spark, sf_dir)
@@ -319,9 +330,8 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CASE WHEN regexp_matches(p_type, 'STEEL$') THEN 'steel' WHEN regexp_matches(p_type, '^(PROMO|SMALL)') THEN 'promo' WHEN regexp_matches(p_type, 'BRUSHED') THEN 'brushed' ELSE 'other' END AS bucket, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY 1, 2""")
 def regex_bucket_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("p_type")
-    bucket = F.when(kind.rlike("STEEL$"), "steel").when(kind.rlike("^(PROMO|SMALL)"), "promo").when(kind.rlike("BRUSHED"), "brushed").otherwise("other")
-    return table(spark, sf_dir, "part").groupBy(bucket.alias("bucket"), S.snake_case(F.col("p_brand")).alias("brand")).agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
+    rules = [("steel", "STEEL$"), ("promo", "^(PROMO|SMALL)"), ("brushed", "BRUSHED")]
+    return metrics.bucket_rollup(table(spark, sf_dir, "part").withColumn("brand", S.snake_case(F.col("p_brand"))), "p_type", "p_size", rules, "other", ["brand"])
 
 
 @query("""SELECT n_name AS label, CAST(sum(5000) AS BIGINT) AS n_frames, CAST(sum(greatest(0, CAST(floor(c_acctbal) AS BIGINT))) AS BIGINT) AS n_detected, round(100.0 * sum(greatest(0, CAST(floor(c_acctbal) AS BIGINT))) / sum(5000), 6) AS detected_pct FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ROLLUP (n_name)""")
@@ -340,7 +350,7 @@ def diverse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH u AS (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 3 = 0) SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS ids FROM u GROUP BY lang""")
 def union_of_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return d.where("doc_id % 2 = 0").unionByName(d.where("doc_id % 3 = 0")).groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+    return sheets.concatenated([d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0")]).groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
 
 
 @query("""SELECT o.doc_id, coalesce(i.v, o.v) AS v FROM (SELECT doc_id, quality AS v FROM labels) o LEFT JOIN (SELECT doc_id, 1 - quality AS v FROM labels WHERE doc_id % 4 = 0) i USING (doc_id)""")
@@ -351,12 +361,12 @@ def merge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT doc_id FROM labels)")
 def session_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id").intersect(table(spark, sf_dir, "labels").select("doc_id"))
+    return sheets.in_both(table(spark, sf_dir, "documents").where("doc_id % 2 = 0"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
 def newest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(200).select("o_orderkey", "o_totalprice")
+    return sinks.newest(table(spark, sf_dir, "orders"), "o_orderdate", ties=["o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT doc_id, CASE WHEN n_chars < 60000 THEN printf('%d:%02d', n_chars // 60, n_chars % 60) ELSE printf('%d:%02d', n_chars // 60, n_chars % 60) END AS length, CAST(round_even(n_chars * 1000 / 30, 0) AS BIGINT) AS ms, 1000.0 / 30 AS step FROM documents")

@@ -200,7 +200,7 @@ def smoothed_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.smoothed_rate(events(spark, sf_dir), KEY, "t", ORDER).select(KEY, "event_id", r6("fps").alias("fps"))
 
 
-@query()
+@query(_EURO.replace("SELECT user_id, event_id, round(x, 6)", "SELECT user_id, t, round(x, 6)"))
 def one_euro_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     return replay(e, [KEY], ORDER, ValueFilter(1e-5, 1e-4, 1e-5), {"ts_ms": "t"}).select(KEY, F.col("ts_ms").cast("long").alias("t"), r6("filtered").alias("filtered"))

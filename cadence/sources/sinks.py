@@ -70,9 +70,31 @@ def split_document(assignment: DataFrame, seed: int, version: str = "v1") -> Dat
     return doc.select(F.to_json(F.struct(F.lit(version).alias("version"), F.lit(seed).alias("seed"), "splits", "groups")).alias("json"))
 
 
-def newest(sets: DataFrame, time: str, keep: int = 200) -> DataFrame:
-    """The newest rows, oldest first."""
-    return sets.orderBy(F.desc(time)).limit(keep).orderBy(time)
+def newest(sets: DataFrame, time: str, keep: int = 200, ties: list[str] | None = None) -> DataFrame:
+    """The newest rows, oldest first; of equally new ones the first in the order of `ties`."""
+    rest = ties or []
+    return sets.orderBy(F.desc(time), *rest).limit(keep).orderBy(F.col(time), *[F.desc(c) for c in rest])
+
+
+def append_history(sets: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """A stream of closed sets appended to a stored history, each set once; `newest` reads the part to show. Returns the
+    query."""
+    writer = sets.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def trace_json(series: DataFrame, picks: DataFrame, key: str = "video_id", time: str = "ts_ms", value: str = "value", decimals: int = 3) -> DataFrame:
+    """(key, json): one document of times and rounded values per picked series, in order of time."""
+    rows = series.join(picks.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.round(F.col(value), decimals).alias("v")))).alias("s"))
+    doc = F.struct(F.col(key), F.transform("s", lambda x: x["t"]).alias("t"), F.transform("s", lambda x: x["v"]).alias("v"))
+    return rows.select(key, F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def labels_document(vocabulary: DataFrame, confidence: float, margin: float, length: int, stride: int) -> DataFrame:
+    """(json): the labels of a model in order of their numbers, its thresholds and its window."""
+    labels = vocabulary.agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "label"))), lambda x: x["label"]).alias("labels"))
+    thresholds = F.struct(F.lit(confidence).alias("confidence"), F.lit(margin).alias("margin"))
+    return labels.select(F.to_json(F.struct("labels", thresholds.alias("thresholds"), F.struct(F.lit(length).alias("length"), F.lit(stride).alias("stride")).alias("window"))).alias("json"))
 
 
 def export_labels(entries: DataFrame, labels: DataFrame, index: str = "index") -> DataFrame:
@@ -80,9 +102,11 @@ def export_labels(entries: DataFrame, labels: DataFrame, index: str = "index") -
     return entries.select("video_id", index).join(labels.where(F.col("status").isin("done", "ambiguous")), "video_id").orderBy(index).drop(index)
 
 
-def markdown(df: DataFrame, title: str, limit: int = 1000) -> str:
-    """A report table of a result that is small by its nature."""
-    rows = df.limit(limit).collect()
+def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A report table of a result that is small by its nature; more than `most` rows are an error, not left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
     show = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     head = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*head, *["| " + " | ".join(show(v) for v in r) + " |" for r in rows], ""])
@@ -93,6 +117,6 @@ def latest_by(df: DataFrame, key: str, time: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def speak_to(df: DataFrame, say) -> None:
-    """A streaming sink: hand each micro-batch's rows, in order of time, to `say` on the driver."""
-    df.writeStream.foreachBatch(lambda batch, _: [say(r) for r in batch.orderBy("said_ms").toLocalIterator()]).start()
+def speak_to(df: DataFrame, say):
+    """A streaming sink: hand each micro-batch's rows, in order of time, to `say` on the driver. Returns the query."""
+    return df.writeStream.foreachBatch(lambda batch, _: [say(r) for r in batch.orderBy("said_ms").toLocalIterator()]).start()
