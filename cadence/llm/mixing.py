@@ -55,7 +55,8 @@ def plan_mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float =
     ordered in one 4096th of it. Only ids, sources and sizes are shuffled, never texts.
 
     weights(source, weight) replaces the cycle of 1, 2, 3. Null text has size 0; null is a source of its own; equal
-    ids are told apart by their text's hash and, if they are whole repeats, by a row number; empty tables give no rows.
+    ids are told apart by their text's hash and, if they are whole repeats, by a row number; words of long texts are counted
+    whole; ties of the hash go by id; other columns are not read; empty tables give no rows.
     """
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("twin").cast("string")))
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"), F.xxhash64(docs[text_col]).alias("key"))
@@ -94,12 +95,15 @@ def leading_words(text: Column, n: Column) -> Column:
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: each document as often as the plan takes it whole, and once more with its leading words
-    where a source's share ends inside it. Columns as in `docs`; documents without words are kept once."""
+    where a source's share ends inside it. Columns as in `docs`; documents without words are kept once. Rows that share id,
+    text and source are told apart by a hash of their other columns, so reruns agree; rows that share those too are alike.
+    They are numbered only where there are any, which saves a shuffle of all texts and changes nothing else."""
     plan = plan_mix(docs, **options).select(F.col("doc_id").alias("p_id"), F.col("key").alias("p_key"), F.col("twin").alias("p_twin"), F.col("size").alias("p_size"), F.col("whole").alias("p_whole"), "part")
-    twins = Window.partitionBy("doc_id", "p_text_key", "source").orderBy(F.lit(1))
+    others = [docs[f.name] for f in docs.schema if f.name not in ("doc_id", "text", "source") and "map<" not in f.dataType.simpleString()]
+    twins = Window.partitionBy("doc_id", "p_text_key", "source").orderBy("p_rest")
     names = docs.columns
     repeated = plan.where("p_twin > 0").limit(1).count() > 0
-    keyed = docs.withColumn("p_text_key", F.xxhash64("text"))
+    keyed = docs.withColumns({"p_text_key": F.xxhash64("text"), "p_rest": F.xxhash64(F.lit(0), *others)})
     keyed = keyed.withColumn("p_row", F.row_number().over(twins) - 1) if repeated else keyed.withColumn("p_row", F.lit(0))
     joined = keyed.join(plan, keyed.doc_id.eqNullSafe(plan.p_id) & (keyed.p_text_key == plan.p_key) & (keyed.p_row == plan.p_twin))
     whole = F.when(F.col("p_size") == 0, F.lit(1)).otherwise(F.col("p_whole") + (F.col("part") == F.col("p_size")).cast("int")).cast("int")

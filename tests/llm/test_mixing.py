@@ -59,3 +59,15 @@ def test_edges(spark):
     assert len(got) == 5 and sum(r.taken for r in got) == 5
     assert sorted(m.text or "" for m in mix_documents(df).collect()) == ["", "", "a b", "a b", "c"]
     assert plan_mix(df.limit(0)).count() == 0 and mix_documents(df.limit(0)).count() == 0
+
+
+def test_rows_that_differ_in_other_columns_mix_alike_in_every_order(spark):
+    from cadence.llm.mixing import mix_documents
+
+    rows = [(1, " ".join(f"w{j}" for j in range(50)), "a", k) for k in range(6)] + [(10 + k, "some other words", "b", k) for k in range(40)]
+    seen = set()
+    for parts in (1, 3, 5):
+        df = spark.createDataFrame(rows if parts != 3 else rows[::-1], "doc_id long, text string, source string, n_chars int").repartition(parts)
+        df = df.withColumn("note", df.n_chars)
+        seen.add(tuple(sorted((r.doc_id, r.text, r.note) for r in mix_documents(df).collect())))
+    assert len(seen) == 1

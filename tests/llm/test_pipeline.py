@@ -51,3 +51,23 @@ def test_run(spark):
     out = corpus.run(spark, "/root/testdata/sf0.001")
     assert out.columns[0] == "doc_id" and out.count() > 0
     assert [n for n, _ in corpus.STAGES] == ["quality", "lines", "near_duplicates", "mixing", "packing"]
+
+
+def test_edges(spark, tmp_path):
+    """Nulls in every column, an empty table, repeated rows and clashing names go through all stages."""
+    words = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, words, "en", "a", 7), (1, words, "en", "a", 7), (2, words, None, None, None), (None, None, None, None, None), (3, "", "", "", 0), (4, "one\ntwo\nthree " * 3000, "en", "b", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, gone array<int>, p_row int, cid long, row int"
+    labels = spark.createDataFrame([(k, k % 2) for k in range(9)], "doc_id long, quality int")
+    for part, name in ((rows, "some"), ([], "none")):
+        folder = str(tmp_path / name)
+        spark.createDataFrame([(*r, [1], 1, 1, 1) for r in part], schema).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, f in corpus.STAGES[1:-1]:
+            after = f(spark, docs, folder)
+            assert after.columns == docs.columns
+            after.write.parquet(f"{folder}/{stage}")
+            docs = spark.read.parquet(f"{folder}/{stage}")
+        assert (docs.where("doc_id = 4").count() > 0) == bool(part)
+        assert corpus.run(spark, folder).where("length <= 0").count() == 0
