@@ -48,10 +48,24 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what a stage keeps is a Parquet table in the shared checkpoint folder."""
+    """All stages over the documents table; what a stage keeps is a Parquet table in the shared checkpoint folder. A stage's
+    table goes when the next one is written, so that one of them is left, which the result reads.
+
+    Null texts count as empty ones and are dropped or kept as the stages say; repeated rows are near-duplicates of each
+    other, of which one stays; ties and clashing column names are as the stages define them; texts are read whole,
+    however long; an empty table gives no rows.
+    """
     folder = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            _drop(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
