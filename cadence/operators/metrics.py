@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,3 +146,28 @@ def bucket_rollup(df: DataFrame, text: str, size: str, rules: list[tuple[str, st
     for name, pattern in reversed(rules):
         bucket = F.when(F.col(text).rlike(pattern), name).otherwise(bucket)
     return df.groupBy(bucket.alias("bucket"), *(by or [])).agg(F.count("*").alias("n"), F.sum(size).alias("size"))
+
+
+def main_axes(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, variance, axis): the direction of the largest population variance of each key's vectors of one length, its
+    largest component positive. A task gives one row of sums and products per key; null vectors take no part."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for frame in frames:
+            for name, part in frame.dropna(subset=[vector]).groupby(key, dropna=False)[vector]:
+                x = np.stack(part.to_list())
+                n, s, p = total.get(name, (0, 0.0, 0.0))
+                total[name] = n + len(x), s + x.sum(0), p + x.T @ x
+        if total:
+            yield pd.DataFrame([(k, n, s.tolist(), p.ravel().tolist()) for k, (n, s, p) in total.items()], columns=[key, "n", "s", "p"])
+
+    def axis(frame: pd.DataFrame) -> pd.DataFrame:
+        n, s, p = frame["n"].sum(), np.sum(frame["s"].to_list(), 0), np.sum(frame["p"].to_list(), 0)
+        w, v = np.linalg.eigh(p.reshape(len(s), len(s)) / n - np.outer(s / n, s / n))
+        a = v[:, -1] * (1 if v[np.abs(v[:, -1]).argmax(), -1] > 0 else -1)
+        return pd.DataFrame({key: [frame[key].iloc[0]], "variance": [float(w[-1])], "axis": [a.tolist()]})
+
+    kind = df.schema[key].dataType.simpleString()
+    partial = df.select(key, vector).mapInPandas(sums, f"{key} {kind}, n long, s array<double>, p array<double>")
+    return partial.groupBy(key).applyInPandas(axis, f"{key} {kind}, variance double, axis array<double>")

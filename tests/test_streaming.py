@@ -65,3 +65,15 @@ def test_repeats_are_dropped(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("once").count() == df.count()
+
+
+def test_history_is_appended_to(spark, tmp_path):
+    from cadence.sources.sinks import append_history, newest
+
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "history", "check"))
+    for k in range(3):
+        spark.createDataFrame([(10 * k + i, i) for i in range(4)], "ended_ms long, reps int").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("ended_ms long, reps int").parquet(source)
+        append_history(stream, path, checkpoint).awaitTermination(120)
+        assert spark.read.parquet(path).count() == 4 * (k + 1)
+    assert [r.ended_ms for r in newest(spark.read.parquet(path), "ended_ms", 5).collect()] == [13, 20, 21, 22, 23]
