@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,13 +79,28 @@ def unlabelled(labels: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("video_id").distinct().join(labels.select("video_id"), "video_id", "left_anti").orderBy("video_id")
 
 
+def closest_pairs(predicted: np.ndarray, truth: np.ndarray, tolerance: float) -> list[dict]:
+    """Matches of two ascending series, closest pairs first: only pairs within the tolerance are looked at."""
+    low, high = np.searchsorted(predicted, truth - tolerance, "left"), np.searchsorted(predicted, truth + tolerance, "right")
+    i = np.repeat(np.arange(len(truth)), high - low)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+    d = np.abs(predicted[j] - truth[i])
+    free_i, free_j, out = np.ones(len(truth), bool), np.ones(len(predicted), bool), []
+    for k in np.lexsort((j, i, d)):
+        if free_i[i[k]] and free_j[j[k]]:
+            free_i[i[k]] = free_j[j[k]] = False
+            out.append({"d": int(d[k]), "i": int(i[k]), "j": int(j[k])})
+    return out
+
+
 def greedy_matches(predicted: Column, truth: Column, tolerance: float) -> Column:
     """One-to-one matches of two ascending arrays, closest pairs first (ties: earlier truth, then earlier prediction)."""
-    pairs = F.flatten(F.transform(truth, lambda t, i: F.filter(F.transform(predicted, lambda p, j: F.struct(F.abs(p - t).alias("d"), i.alias("i"), j.alias("j"))), lambda x: x["d"] <= tolerance)))
-    start = F.array().cast("array<struct<d:bigint,i:int,j:int>>")
-    cast = F.transform(F.array_sort(pairs), lambda x: F.struct(x["d"].cast("bigint").alias("d"), x["i"].alias("i"), x["j"].alias("j")))
-    take = lambda acc, x: F.when(F.exists(acc, lambda y: (y["i"] == x["i"]) | (y["j"] == x["j"])), acc).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(cast, start, take)
+
+    @F.pandas_udf("array<struct<d:bigint,i:int,j:int>>")
+    def match(p: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else closest_pairs(np.asarray(a, float), np.asarray(b, float), tolerance) for a, b in zip(p, t, strict=True)], dtype=object)
+
+    return match(predicted, truth)
 
 
 def pointer_matches(first: Column, second: Column, tolerance: float = AGREEMENT) -> Column:

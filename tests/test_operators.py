@@ -343,3 +343,23 @@ def test_main_axes(spark):
         c = np.cov(x[r.g :: 2].T, bias=True)
         w, v = np.linalg.eigh(c)
         assert abs(r.variance - w[-1]) < 1e-9 and abs(abs(np.dot(r.axis, v[:, -1])) - 1) < 1e-9 and max(r.axis, key=abs) > 0
+
+
+def test_closest_pairs_of_long_series():
+    import numpy as np
+
+    from cadence.operators.labels import closest_pairs
+
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 3), (3, 0), (40, 50), (60, 20)):
+        p, t = np.sort(rng.integers(0, 900, n)).astype(float), np.sort(rng.integers(0, 900, m)).astype(float)
+        pairs = sorted((abs(a - b), i, j) for i, b in enumerate(t) for j, a in enumerate(p) if abs(a - b) <= 30)
+        used, want = (set(), set()), []
+        for d, i, j in pairs:
+            if i not in used[0] and j not in used[1]:
+                used[0].add(i)
+                used[1].add(j)
+                want.append((int(d), i, j))
+        assert [(x["d"], x["i"], x["j"]) for x in closest_pairs(p, t, 30)] == want
+    long = np.arange(0, 4_000_000, 20.0)
+    assert len(closest_pairs(long, long + 3, 50)) == len(long)
