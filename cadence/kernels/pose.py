@@ -9,55 +9,71 @@ from cadence.functions.geometry import ANGLES, HIPS, KEPT, MIN_SCALE, MIRROR, MO
 ANGLE_COUNT = len(ANGLES)
 
 
-def pose_array(pose) -> np.ndarray | None:
-    """(landmarks, 4) of x, y, z and visibility with NaN for what is missing; None for no pose."""
+def kept_values(pose) -> list:
+    """x, y and visibility of the kept landmarks, one after the other; None for what is missing."""
     if pose is None:
-        return None
-    rows = [(None,) * 4 if p is None else (p["x"], p["y"], p["z"], p["visibility"]) if isinstance(p, dict) else tuple(p) for p in pose]
-    return np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(-1, 4)
+        return [None] * (3 * POINTS)
+    if isinstance(pose, np.ndarray):
+        pose = pose.tolist()
+    out, n = [], len(pose)
+    for i in KEPT:
+        p = pose[i] if i < n else None
+        if p is None:
+            out += (None, None, None)
+        elif isinstance(p, dict):
+            out += (p["x"], p["y"], p["visibility"])
+        else:
+            out += (p[0], p[1], p[3])
+    return out
 
 
-def _present_mean(a, b):
-    return a if np.isnan(b).any() and not np.isnan(a).any() else b if np.isnan(a).any() and not np.isnan(b).any() else (a + b) / 2
+def _present_means(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of two values that are there the mean, otherwise the one that is there."""
+    mean = (a + b) / 2
+    lone = np.isnan(mean)
+    return np.where(lone, np.where(np.isnan(a), b, a), mean)
 
 
-def normal_points(pose, width: float, height: float) -> np.ndarray:
-    """(points, 3) centred and scaled, all NaN where that is undefined."""
-    out = np.full((POINTS, 3), np.nan)
-    p = pose if isinstance(pose, np.ndarray) or pose is None else pose_array(pose)
-    if p is None:
-        return out
-    for k, i in enumerate(KEPT):
-        if i < len(p):
-            out[k] = p[i, 0] * (width / height), p[i, 1], p[i, 3]
-    out[~np.isfinite(out)] = np.nan
-    xy = out[:, :2]
-    centre = np.array([_present_mean(xy[HIPS[0], k], xy[HIPS[1], k]) for k in (0, 1)])
-    torso = [np.hypot(*(xy[s] - xy[h])) for s, h in zip(SHOULDERS, HIPS, strict=True)]
-    scale = _present_mean(*torso)
-    if not (np.isfinite(centre).all() and np.isfinite(scale) and scale >= MIN_SCALE):
-        return np.full((POINTS, 3), np.nan)
-    out[:, :2] = (xy - centre) / scale
+def points_of(values: list[list], width, height) -> np.ndarray:
+    """(frames, points, 3) of kept values, centred and scaled; a frame for which that is undefined is all NaN."""
+    out = np.array(values, float).reshape(-1, POINTS, 3)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out[:, :, 0] *= (np.asarray(width, float) / np.asarray(height, float)).reshape(-1, 1)
+        out[~np.isfinite(out)] = np.nan
+        xy = out[:, :, :2]
+        centre = _present_means(xy[:, HIPS[0]], xy[:, HIPS[1]])
+        side = xy[:, SHOULDERS] - xy[:, HIPS]
+        torso = np.hypot(side[..., 0], side[..., 1])
+        scale = _present_means(torso[:, 0], torso[:, 1])
+        usable = np.isfinite(centre).all(axis=1) & (scale >= MIN_SCALE)
+        xy[...] = (xy - centre[:, None]) / scale[:, None, None]
+    out[~usable] = np.nan
     return out
 
 
 def angles_from(points: np.ndarray) -> np.ndarray:
-    xy = points[:, :2]
-    a, b, c = (xy[list(k)] for k in zip(*ANGLES, strict=True))
+    """(…, angles) of (…, points, 3)."""
+    xy = points[..., :2]
+    a, b, c = (xy[..., list(k), :] for k in zip(*ANGLES, strict=True))
     u, v = a - b, c - b
-    size = np.hypot(u[:, 0], u[:, 1]) * np.hypot(v[:, 0], v[:, 1])
+    size = np.hypot(u[..., 0], u[..., 1]) * np.hypot(v[..., 0], v[..., 1])
     with np.errstate(invalid="ignore", divide="ignore"):
-        cosine = np.where(size == 0, np.nan, (u * v).sum(1) / size)
+        cosine = np.where(size == 0, np.nan, (u * v).sum(-1) / size)
     return np.degrees(np.arccos(np.clip(cosine, -1, 1))) / 180
 
 
+def feature_rows(values: list[list], width, height) -> np.ndarray:
+    """(frames, features) of kept values."""
+    points = points_of(values, width, height)
+    return np.concatenate([points.reshape(len(points), 3 * POINTS), angles_from(points)], axis=1)
+
+
 def features_of(pose, width: float, height: float) -> np.ndarray:
-    points = normal_points(pose, width, height)
-    return np.concatenate([points.reshape(-1), angles_from(points)])
+    return feature_rows([kept_values(pose)], width, height)[0]
 
 
 def angles_of(pose, width: float, height: float) -> np.ndarray:
-    return angles_from(normal_points(pose, width, height))
+    return angles_from(points_of([kept_values(pose)], width, height)[0])
 
 
 def motion_of(features: np.ndarray) -> np.ndarray | None:
@@ -71,11 +87,14 @@ def mirrored(rows: np.ndarray) -> np.ndarray:
 
 def fill_gaps(rows: np.ndarray, most: int = 5) -> np.ndarray:
     """Runs of at most `most` missing values per column on the straight line between their ends."""
-    out = rows.copy()
-    for col in range(rows.shape[1]):
-        known = np.flatnonzero(np.isfinite(rows[:, col]))
-        for a, b in zip(known[:-1], known[1:], strict=True):
-            if 1 < b - a <= most + 1:
-                k = np.arange(a + 1, b)
-                out[k, col] = (rows[b, col] - rows[a, col]) / (b - a) * (k - a) + rows[a, col]
+    out, n = rows.copy(), len(rows)
+    known = np.isfinite(rows)
+    if not n or known.all():
+        return out
+    at = np.arange(n)[:, None]
+    before = np.maximum.accumulate(np.where(known, at, -1), axis=0)
+    after = np.minimum.accumulate(np.where(known, at, n)[::-1], axis=0)[::-1]
+    r, c = np.nonzero(~known & (before >= 0) & (after < n) & (after - before <= most + 1))
+    a, b = before[r, c], after[r, c]
+    out[r, c] = (rows[b, c] - rows[a, c]) / (b - a) * (r - a) + rows[a, c]
     return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+
 from cadence.kernels.base import Kernel, is_number
 
 IDLE, DETECTING, COUNTING, RESTING = "idle", "detecting", "counting", "resting"
@@ -70,7 +72,7 @@ class Debounce(Kernel):
         return s, [(float(t), visible)]
 
 
-def low_pass_weight(cutoff: float, dt: float) -> float:
+def low_pass_weight(cutoff, dt):
     return 1 / (1 + 1 / (2 * math.pi * cutoff * dt))
 
 
@@ -116,24 +118,44 @@ class ValueFilter(Kernel):
 
 
 class PoseFilter:
-    """One filter per coordinate of a pose; frames without a pose change nothing."""
+    """One filter per coordinate of a pose, all of them at once; frames without a pose change nothing."""
+
+    AXES = ("x", "y", "z")
 
-    def __init__(self) -> None:
-        self.filters: dict[tuple[int, str], OneEuro] = {}
+    def __init__(self, min_cutoff: float = 1.0, beta: float = 10.0, d_cutoff: float = 1.0) -> None:
+        self.options = (min_cutoff, beta, d_cutoff)
+        self.x = self.speed = self.t = np.zeros((0, len(self.AXES)))
+
+    def _grow(self, n: int) -> None:
+        more = np.full((max(0, n - len(self.x)), len(self.AXES)), np.nan)
+        if len(more):
+            self.x, self.speed, self.t = (np.concatenate([a, more]) for a in (self.x, self.speed, self.t))
+
+    def _filtered(self, v: np.ndarray, t: float) -> np.ndarray:
+        min_cutoff, beta, d_cutoff = self.options
+        x, speed, last = self.x[: len(v)], self.speed[: len(v)], self.t[: len(v)]
+        known, dt = np.isfinite(v), (t - last) / 1000
+        runs = dt > 0
+        with np.errstate(invalid="ignore", divide="ignore"):
+            a = low_pass_weight(d_cutoff, dt)
+            pace = np.where(runs, a * (v - x) / dt + (1 - a) * speed, 0.0)
+            a = low_pass_weight(min_cutoff + beta * np.abs(pace), dt)
+            out = np.where(runs, a * v + (1 - a) * x, v)
+        for kept, now in ((x, out), (speed, pace), (last, t)):
+            np.copyto(kept, now, where=known)
+        return out
 
     def feed(self, pose, t: float):
         if pose is None:
             return None
-        out = []
-        for i, p in enumerate(pose):
-            if p is None:
-                out.append(None)
-                continue
-            got = dict(zip(("x", "y", "z", "visibility"), p, strict=True)) if not isinstance(p, dict) else dict(p)
-            for axis in ("x", "y", "z"):
-                got[axis] = self.filters.setdefault((i, axis), OneEuro()).feed(got.get(axis), t)
-            out.append(got)
-        return out
+        seen = [None if p is None else dict(p) if isinstance(p, dict) else dict(zip((*self.AXES, "visibility"), p, strict=True)) for p in pose]
+        raw = [(None,) * len(self.AXES) if p is None else [p.get(a) for a in self.AXES] for p in seen]
+        v = np.array(raw, float).reshape(len(seen), len(self.AXES))
+        self._grow(len(v))
+        for p, old, new in zip(seen, raw, self._filtered(v, t).tolist(), strict=True):
+            if p is not None:
+                p.update((a, n if is_number(o) else o) for a, o, n in zip(self.AXES, old, new, strict=True))
+        return seen
 
 
 class ScoreSmoother(Kernel):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from cadence.kernels.base import Kernel, round_up
-from cadence.kernels.pose import features_of, fill_gaps, mirrored
+from cadence.kernels.base import Kernel
+from cadence.kernels.pose import feature_rows, fill_gaps, kept_values, mirrored
 
 # Fixed values of the feature windows.
-FPS, LENGTH, STRIDE, GAP, MISSING = 15.0, 30, 15, 5, 0.3
+FPS, LENGTH, STRIDE, GAP, MISSING, WIDTH = 15.0, 30, 15, 5, 0.3, 47
 DELAY = CONTEXT = GAP + 1
 
 
@@ -25,8 +25,8 @@ def nearest_rows(times: np.ndarray, fps: float = FPS) -> np.ndarray:
 
 def sequence_features(poses: list, times, width: float, height: float, fps: float = FPS) -> np.ndarray:
     """(ticks, features) of a whole recording, gaps filled."""
-    rows = [features_of(poses[i], width, height) for i in nearest_rows(np.asarray(times, float), fps)]
-    return fill_gaps(np.array(rows)) if rows else np.zeros((0, 47))
+    values = [kept_values(poses[i]) for i in nearest_rows(np.asarray(times, float), fps)]
+    return fill_gaps(feature_rows(values, width, height))
 
 
 def cut_windows(rows: np.ndarray, length: int = LENGTH, stride: int = STRIDE) -> list[tuple[int, np.ndarray, float]]:
@@ -37,22 +37,34 @@ def cut_windows(rows: np.ndarray, length: int = LENGTH, stride: int = STRIDE) ->
 
 class WindowStream(Kernel):
     """(start, missing_ratio, usable, rows) as soon as no later frame can change a window: one frame to settle a tick,
-    `DELAY` ticks so that every short gap is closed. `finish` releases what still waits."""
+    `DELAY` ticks so that every short gap is closed. `finish` releases what still waits. Settled ticks wait as the few
+    values that matter of their poses; features are made of all waiting ones at once when rows are due."""
 
     inputs = ("ts_ms", "pose", "width", "height")
     output = "start int, missing_ratio double, usable boolean, rows array<array<double>>"
 
     def start(self):
-        return {"first": None, "tick": None, "before": None, "rows": [], "offset": 0, "next": 0}
+        return {"first": None, "tick": None, "ticks": 0, "before": None, "rows": np.zeros((0, WIDTH)), "offset": 0, "waiting": [], "next": 0}
 
-    def _release(self, s, tail: bool) -> list[tuple]:
+    def _due(self, s, tail: bool) -> bool:
+        return s["next"] + LENGTH + (0 if tail else DELAY) <= s["ticks"]
+
+    def _emit(self, s, tail: bool) -> list[tuple]:
         out = []
-        while s["next"] + LENGTH + (0 if tail else DELAY) <= s["offset"] + len(s["rows"]):
+        while self._due(s, tail):
             base = max(s["offset"], s["next"] - CONTEXT)
-            filled = fill_gaps(np.array(s["rows"][base - s["offset"] : s["next"] + LENGTH + DELAY - s["offset"]]), GAP)
+            filled = fill_gaps(s["rows"][base - s["offset"] : s["next"] + LENGTH + DELAY - s["offset"]], GAP)
             (_, window, missing), *_ = cut_windows(filled[s["next"] - base : s["next"] - base + LENGTH])
             out.append((s["next"], missing, missing <= MISSING, window.tolist()))
             s["next"] += STRIDE
+        return out
+
+    def _release(self, s, tail: bool) -> list[tuple]:
+        if not self._due(s, tail):
+            return []
+        values, width, height = zip(*s["waiting"]) if s["waiting"] else ((), (), ())
+        s["rows"], s["waiting"] = np.concatenate([s["rows"], feature_rows(values, width, height)]), []
+        out = self._emit(s, tail)
         keep = max(s["offset"], s["next"] - CONTEXT)
         s["rows"], s["offset"] = s["rows"][keep - s["offset"] :], keep
         return out
@@ -62,13 +74,12 @@ class WindowStream(Kernel):
         pace = 1000 / FPS
         if s["first"] is None:
             s["first"] = s["tick"] = float(t)
-        k = round_up((s["tick"] - s["first"]) / pace)
         while s["tick"] <= t:
             old = s["before"]
             use = old if old is not None and s["tick"] - old[0] <= t - s["tick"] else (t, pose)
-            s["rows"].append(features_of(use[1], width, height))
-            k += 1
-            s["tick"] = s["first"] + k * pace
+            s["waiting"].append((kept_values(use[1]), width, height))
+            s["ticks"] += 1
+            s["tick"] = s["first"] + s["ticks"] * pace
         s["before"] = (t, pose)
         return s, self._release(s, False)
 
@@ -81,23 +92,17 @@ class FeatureStream(WindowStream):
 
     output = "k int, missing boolean, features array<double>"
 
-    def start(self):
-        return super().start() | {"next": 0}
+    def _due(self, s, tail: bool) -> bool:
+        return s["next"] + (0 if tail else DELAY) < s["ticks"]
 
-    def _release(self, s, tail: bool) -> list[tuple]:
-        total = s["offset"] + len(s["rows"])
-        stop = total if tail else total - DELAY
-        if stop <= s["next"]:
-            return []
-        filled = fill_gaps(np.array(s["rows"]), GAP)
-        out = []
-        for k in range(s["next"], stop):
-            row = filled[k - s["offset"]]
-            known = np.isfinite(row)
-            out.append((k, bool(not known.all()), [float(v) if ok else None for v, ok in zip(row, known, strict=True)]))
+    def _emit(self, s, tail: bool) -> list[tuple]:
+        stop = s["ticks"] - (0 if tail else DELAY)
+        filled = fill_gaps(s["rows"], GAP)[s["next"] - s["offset"] : stop - s["offset"]]
+        known = np.isfinite(filled)
+        whole = known.all(axis=1).tolist()
+        shown = np.where(known, filled, None).tolist()
+        out = [(s["next"] + i, not whole[i], shown[i]) for i in range(len(shown))]
         s["next"] = stop
-        keep = max(s["offset"], stop - CONTEXT)
-        s["rows"], s["offset"] = s["rows"][keep - s["offset"] :], keep
         return out
 
 

@@ -133,6 +133,26 @@ def test_one_euro():
     assert a[0]["x"] == 0.0 and 0 < b[0]["x"] < 1 and b[0]["visibility"] == 0.4
 
 
+def test_pose_filter_equals_filters_of_values():
+    f, single = PoseFilter(), {}
+    frames = [(0, 3), (33, 3), (33, 3), (70, None), (100, 2), (140, 4), (180, 4)]
+    rng = np.random.default_rng(3)
+    for n, (t, size) in enumerate(frames):
+        pose = None if size is None else [None if (n, i) == (4, 1) else {"x": float(v[0]), "y": None if i == n % 3 else float(v[1]), "z": float(v[2]), "visibility": 0.5} for i, v in enumerate(rng.random((size, 3)))]
+        got = f.feed(pose, t)
+        for i, p in enumerate(pose or []):
+            want = None if p is None else p | {a: single.setdefault((i, a), ValueFilter().start()).feed(p[a], t) for a in "xyz"}
+            assert got[i] == (want if want is None else pytest.approx(want))
+
+
+def test_fill_gaps_at_the_edges():
+    nan = np.nan
+    x = np.array([[nan, 1.0], [2.0, nan], [nan, nan], [nan, nan], [nan, nan], [nan, nan], [nan, nan], [9.0, 15.0], [nan, 16.0]])
+    got = fill_gaps(x)
+    assert np.nan_to_num(got[:, 0], nan=-1).tolist() == [-1, 2, pytest.approx(19 / 6), pytest.approx(26 / 6), pytest.approx(5.5), pytest.approx(40 / 6), pytest.approx(47 / 6), 9, -1]
+    assert np.isnan(got[1:7, 1]).all() and fill_gaps(np.zeros((0, 4))).shape == (0, 4)
+
+
 def test_smoother():
     k = ScoreSmoother(["a", "b"])
     out = drive(k, [(0, [5.0, 0.0], False), (1, [0.0, 5.0], False), (2, [0.0, 5.0], True)])
@@ -168,7 +188,7 @@ def test_windows_stream_equals_batch():
     for r in rows:
         s, out = k.step(s, r)
         got += out
-        longest = max(longest, len(s["rows"]))
+        longest = max(longest, len(s["rows"]) + len(s["waiting"]))
     got += k.finish(s)
     assert len(got) == len(want) > 3 and longest <= 60
     for (start, missing, usable, window), (a, b, c) in zip(got, want, strict=True):
