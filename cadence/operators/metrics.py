@@ -56,11 +56,14 @@ def first_label(df: DataFrame, key: str, label: str, order: str) -> DataFrame:
 
 def sweep(scored: DataFrame, score: str, right: str, cuts: list[float], target: float) -> DataFrame:
     """(cut, kept, coverage, accuracy, chosen): what stays at each cut, and the smallest cut that meets the target accuracy;
-    if none does, the last cut that keeps anything."""
-    spark = scored.sparkSession
-    table = F.broadcast(spark.createDataFrame([(c,) for c in cuts], "cut double"))
-    rows = scored.agg(F.count("*").alias("total"))
-    kept = scored.join(table, F.col(score) >= F.col("cut")).groupBy("cut").agg(F.count("*").alias("kept"), F.avg(F.col(right).cast("double")).alias("accuracy"))
+    if none does, the last cut that keeps anything. Rows are counted by the number of cuts they reach before the cuts are told
+    apart, so no row is multiplied."""
+    steps = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))])
+    right_n = F.count_if(F.col(right).cast("boolean"))
+    levels = scored.groupBy(F.size(F.filter(steps, lambda c: F.col(score) >= c)).alias("level")).agg(F.count("*").alias("n"), right_n.alias("right"), F.count(right).alias("judged"))
+    rows = levels.agg(F.sum("n").alias("total"))
+    reached = levels.where("level > 0").select(F.explode(F.slice(steps, F.lit(1), F.col("level"))).alias("cut"), "n", "right", "judged")
+    kept = reached.groupBy("cut").agg(F.sum("n").alias("kept"), ratio(F.sum("right"), F.sum("judged")).alias("accuracy"))
     out = kept.join(rows, F.lit(True)).select("cut", "kept", ratio(F.col("kept"), F.col("total")).alias("coverage"), "accuracy")
     every = Window.partitionBy(F.lit(1))
     meets = F.min(F.when(F.col("accuracy") >= target, F.col("cut"))).over(every)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cadence.kernels.base import Kernel
-from cadence.kernels.states import Ema, ValueFilter
+from cadence.kernels.states import Ema, RateLimiter, ValueFilter
 from cadence.operators.replay import replay
 
 
@@ -118,19 +118,10 @@ def sessions(df: DataFrame, key: str, time: str, order: list[str], gap_ms: float
 
 def rate_limit(df: DataFrame, key: str, time: str, order: list[str], text: str, gap_ms: float = 2000) -> DataFrame:
     """(key, said_ms, text): the newest waiting text, released by the first row at least `gap_ms` after the last release.
-    A fold over the sorted rows of a key, for short series; rows without text may release too. `RateLimiter` is the kernel."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(time).alias("_t"), F.col(text).alias("_x")))).alias("s"))
-    out = "array<struct<said_ms:bigint,text:string>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("string").alias("waiting"), F.array().cast(out).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        waiting = F.coalesce(x["_x"], acc["waiting"])
-        go = waiting.isNotNull() & (acc["last"].isNull() | (x["_t"] - acc["last"] >= gap_ms))
-        said = F.array(F.struct(x["_t"].cast("bigint").alias("said_ms"), waiting.alias("text")))
-        return F.struct(F.when(go, x["_t"].cast("bigint")).otherwise(acc["last"]).alias("last"), F.when(~go, waiting).alias("waiting"), F.when(go, F.concat(acc["out"], said)).otherwise(acc["out"]).alias("out"))
-
-    folded = rows.select(key, F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("o"))
-    return folded.select(key, "o.said_ms", "o.text")
+    Rows without text may release too; rows without a time are passed over."""
+    rows = df.where(F.col(time).isNotNull()).withColumn("_on", F.lit(None).cast("boolean"))
+    said = replay(rows, [key], order, RateLimiter(gap_ms), {"ts_ms": time, "text": text, "enabled": "_on"})
+    return said.select(key, F.col("said_ms").cast("bigint").alias("said_ms"), "text")
 
 
 def one_euro(df: DataFrame, key: str, time: str, order: list[str], value: str, min_cutoff: float = 1.0, beta: float = 10.0, d_cutoff: float = 1.0) -> DataFrame:
