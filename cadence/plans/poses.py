@@ -97,10 +97,30 @@ def pose_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("group").agg(F.count("*").alias("ticks"), F.max("count").alias("count"), F.count_if("moving").alias("moving"))
 
 
-@query()
+def _ticks(seen: str = "true") -> str:
+    """The recordings at 15 ticks a second as common table expressions: `i` has the nose (x, y) and the left elbow (a) of
+    tick j, short gaps filled; frames for which `seen` doesn't hold have no pose."""
+    fill = lambda c: f"coalesce(g.{c}, CASE WHEN bi - ai <= 6 THEN (q.{c} - p.{c}) / (bi - ai) * (g.j - ai) + p.{c} END) AS {c}"
+    return f"""{_POINTS}, {_NORMAL}, u AS (SELECT *, (sx - elx) AS ux, (sy - ely) AS uy, (wx - elx) AS vx, (wy - ely) AS vy FROM c),
+s AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, {seen} AS seen, (e[1] / 2 + 0.5 - cx) / scale AS x, (e[2] / 2 + 0.5 - cy) / scale AS y,
+  degrees(acos(greatest(-1, least(1, (ux * vx + uy * vy) / (sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy)))))) / 180 AS a FROM u),
+t AS (SELECT label, j FROM (SELECT label, count(*) AS n, unnest(range(0, 2 * count(*))) AS j FROM s GROUP BY label) WHERE j * (CAST(1000 AS DOUBLE) / 15) <= (n - 1) * 100),
+m AS (SELECT t.label, t.j, CASE WHEN seen THEN x END AS x, CASE WHEN seen THEN y END AS y, CASE WHEN seen THEN a END AS a FROM t JOIN s ON s.label = t.label AND s.k = round(t.j * 2 / 3.0)),
+g AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN j END) OVER (PARTITION BY label ORDER BY j ROWS UNBOUNDED PRECEDING) AS ai, min(CASE WHEN x IS NOT NULL THEN j END) OVER (PARTITION BY label ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bi FROM m),
+i AS (SELECT g.label, g.j, {fill("x")}, {fill("y")}, {fill("a")} FROM g LEFT JOIN m p ON p.label = g.label AND p.j = g.ai LEFT JOIN m q ON q.label = g.label AND q.j = g.bi)"""
+
+
+#: Full windows of 30 ticks, 15 apart, with 0 for what is missing.
+_CUT = """r AS (SELECT label, j, list(coalesce(x, 0)) OVER w AS xs, list(coalesce(a, 0)) OVER w AS s, avg(CASE WHEN x IS NULL THEN 1.0 ELSE 0 END) OVER w AS missing FROM i WINDOW w AS (PARTITION BY label ORDER BY j ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)),
+w AS (SELECT * FROM r WHERE len(xs) = 30 AND j % 15 = 0)"""
+
+
+@query(f"""WITH {_ticks()}, {_CUT}
+SELECT label AS "group", CAST(j AS INT) AS start, CAST(missing AS DOUBLE) AS missing_ratio, missing <= 0.3 AS usable, 30 AS length, round(xs[1], 5) AS first, round(xs[30], 5) AS last FROM w""")
 def pose_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = replay(_sequence(spark, sf_dir), ["group"], ["ts_ms", "vec_id"], WindowStream())
-    return out.select("group", "start", "missing_ratio", "usable", F.size("rows").alias("length"))
+    at = lambda k: F.round(F.get(F.get("rows", F.lit(k)), F.lit(0)), 5)
+    return out.select("group", "start", "missing_ratio", "usable", F.size("rows").alias("length"), at(0).alias("first"), at(29).alias("last"))
 
 
 @query()
@@ -140,21 +160,28 @@ def quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.findings(quality.by_class(v), v).withColumn("value", r6("value"))
 
 
-@query()
+@query(f"""WITH {_ticks("vec_id % 7 <> 0")}
+SELECT 'v' || label AS video_id, CAST(j AS INT) AS k, x IS NULL AS missing, round(x, 5) AS nose_x, round(y, 5) AS nose_y, round(a, 5) AS left_elbow FROM i""")
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature rows of every tick: the nose's place and the left elbow's angle of them."""
     from cadence.operators import features
 
-    rows = features.sequence_features(_videos(spark, sf_dir))
-    return rows.groupBy("video_id").agg(F.count("*").alias("ticks"), F.count_if("missing").alias("missing"))
+    at = lambda i: F.round(F.get("features", F.lit(i)), 5)
+    return features.sequence_features(_videos(spark, sf_dir)).select("video_id", "k", "missing", at(0).alias("nose_x"), at(1).alias("nose_y"), at(39).alias("left_elbow"))
 
 
-@query()
+@query(f"""WITH {_ticks("vec_id % 7 <> 0")}, {_CUT}, y AS (SELECT *, row_number() OVER (ORDER BY label, j) AS n FROM w WHERE missing <= 0.3),
+v AS (SELECT n, unnest(s) - list_avg(s) AS v, generate_subscripts(s, 1) - 1 AS k FROM y), f AS (SELECT n, line, sum(v * cos(2 * pi() * line * k / 30)) ** 2 + sum(v * sin(2 * pi() * line * k / 30)) ** 2 AS power FROM v, range(1, 16) l(line) GROUP BY ALL),
+d AS (SELECT n, arg_max(line, power) / 2 AS frequency FROM f GROUP BY n)
+SELECT 'v' || label AS video_id, CAST(j AS INT) AS start, 243 AS features, round(list_avg(xs), 5) AS mean, round(list_stddev_pop(xs), 5) AS deviation, round(list_max(xs) - list_min(xs), 5) AS span, frequency FROM y JOIN d USING (n)""")
 def window_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """243 summary features per usable window, as a model's input."""
+    """243 summary features per usable window, as a model's input: the nose's and the left elbow's of them."""
     from cadence.operators import features, models
 
     w = features.feature_windows(_videos(spark, sf_dir)).where("usable").select("video_id", "start", "rows")
-    return models.summary_features(w).select("video_id", "start", F.size("summary").alias("features"), r6(F.get("summary", F.lit(0))).alias("first"))
+    at = lambda name: F.get("summary", F.lit(models.feature_names().index(name)))
+    r5 = lambda name: F.round(at(name), 5)
+    return models.summary_features(w).select("video_id", "start", F.size("summary").alias("features"), r5("mean_p0_x").alias("mean"), r5("std_p0_x").alias("deviation"), r5("range_p0_x").alias("span"), at("frequency_angle0").alias("frequency"))
 
 
 @query()
