@@ -6,6 +6,7 @@ from cadence.llm.forest import op1_prefix_forest
 from cadence.llm.lines import op6_line_alignment
 from cadence.llm.minhash import OP2_SQL, op2_circulant_minhash
 from cadence.llm.mixing import OP9_SQL, op9_mix_sources
+from cadence.llm.negatives import OP13_SQL, op13_distance_keys
 from cadence.llm.packing import op8_pack_sequences
 from cadence.llm.quality import op10_quality_votes
 from cadence.llm.secrets import OP7_SQL, op7_secret_ledger
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_pack_sequences": op8_pack_sequences,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_votes": op10_quality_votes,
+    "op13_distance_keys": op13_distance_keys,
 }
 ORACLES = {
     "op2_circulant_minhash": OP2_SQL,
@@ -30,4 +32,5 @@ ORACLES = {
     "op5_chat_format": OP5_SQL,
     "op7_secret_ledger": OP7_SQL,
     "op9_mix_sources": OP9_SQL,
+    "op13_distance_keys": OP13_SQL,
 }
