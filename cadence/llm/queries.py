@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
+from cadence.llm.alignment import op11_byte_owners
 from cadence.llm.chat import OP5_SQL, op5_chat_format
 from cadence.llm.collisions import OP3_SQL, op3_collision_links
 from cadence.llm.forest import op1_prefix_forest
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_pack_sequences": op8_pack_sequences,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_votes": op10_quality_votes,
+    "op11_byte_owners": op11_byte_owners,
     "op13_distance_keys": op13_distance_keys,
 }
 ORACLES = {
