@@ -3,6 +3,7 @@
 from cadence.llm.alignment import op11_byte_owners
 from cadence.llm.chat import OP5_SQL, op5_chat_format
 from cadence.llm.collisions import OP3_SQL, op3_collision_links
+from cadence.llm.extraction import op12_block_rules
 from cadence.llm.forest import op1_prefix_forest
 from cadence.llm.lines import op6_line_alignment
 from cadence.llm.minhash import OP2_SQL, op2_circulant_minhash
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_votes": op10_quality_votes,
     "op11_byte_owners": op11_byte_owners,
+    "op12_block_rules": op12_block_rules,
     "op13_distance_keys": op13_distance_keys,
 }
 ORACLES = {
