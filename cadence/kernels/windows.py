@@ -106,6 +106,20 @@ class FeatureStream(WindowStream):
         return out
 
 
+class TimedWindows(WindowStream):
+    """Windows with the time of the frame that released them; what only the end of a stream would release is left out,
+    since no frame can follow it."""
+
+    output = "ts_ms double, start int, missing_ratio double, rows array<array<double>>"
+
+    def step(self, s, row):
+        s, out = super().step(s, row)
+        return s, [(float(row[0]), start, missing, rows) for start, missing, _, rows in out]
+
+    def finish(self, s):
+        return []
+
+
 def reference_stages(poses: list, times, width: float, height: float) -> dict:
     """What every stage makes of one recording: a fixture to hold other implementations against."""
     rows = sequence_features(poses, times, width, height)

@@ -7,16 +7,10 @@ time is finished: what its kernel still holds is emitted and its state removed.
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadence.kernels.base import Kernel
+from cadence.streaming import keyed
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -31,47 +25,4 @@ def once(df: DataFrame, keys: list[str], time: str, lateness: str = "10 seconds"
 
 def run(df: DataFrame, keys: list[str], time: str, kernel: Kernel, ts_ms: str = "ts_ms", lateness: str = "0 seconds", idle_ms: int = 60_000, names: dict[str, str] | None = None) -> DataFrame:
     """(keys, kernel.output) in append mode. `time` is a timestamp for the watermark, `ts_ms` the kernel's order."""
-    column = {i: (names or {}).get(i, i) for i in kernel.inputs}
-    output = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + kernel.output
-    out_names = [*keys, *[f.split()[0] for f in _fields(kernel.output)]]
-    inputs = [column[i] for i in kernel.inputs]
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        inner, waiting = pickle.loads(state.get[0]) if state.exists else (kernel.start(), [])
-        for frame in frames:
-            table = pa.Table.from_pandas(frame, preserve_index=False)
-            columns = [table.column(c).to_pylist() for c in ["_event_ms", "_order", *[f"_i{n}" for n in range(len(inputs))]]]
-            waiting += list(zip(*columns, strict=True))
-        done = state.hasTimedOut
-        limit = state.getCurrentWatermarkMs()
-        ready = sorted((r for r in waiting if done or r[0] <= limit), key=lambda r: r[1])
-        found = []
-        for r in ready:
-            inner, rows = kernel.step(inner, r[2:])
-            found += rows
-        if done:
-            found += kernel.finish(inner)
-            state.remove()
-        else:
-            rest = [r for r in waiting if r[0] > limit]
-            state.update((pickle.dumps((inner, rest)),))
-            latest = max((r[0] for r in waiting), default=limit)
-            state.setTimeoutTimestamp(max(latest + idle_ms, limit + 1))
-        if found:
-            yield pd.DataFrame([(*key, *r) for r in found], columns=out_names)
-
-    own = df.withWatermark(time, lateness).select(*keys, time, F.floor(F.unix_micros(F.col(time)) / 1000).cast("long").alias("_event_ms"), F.col(ts_ms).alias("_order"), *[F.col(c).alias(f"_i{n}") for n, c in enumerate(inputs)])
-    return own.groupBy(*keys).applyInPandasWithState(step, output, "blob binary", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _fields(ddl: str) -> list[str]:
-    """Top-level fields of a DDL schema."""
-    out, depth, now = [], 0, ""
-    for c in ddl:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(now.strip())
-            now = ""
-        else:
-            now += c
-    return [*out, now.strip()]
+    return keyed.run(df, keys, time, kernel, [ts_ms], lateness, idle_ms, names)
