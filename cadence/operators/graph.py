@@ -22,7 +22,7 @@ def _least(star: DataFrame, low: DataFrame, node: str, other: str) -> DataFrame:
 def _hang_larger(star: DataFrame) -> DataFrame:
     """Each node's larger neighbours under the smallest node that it sees."""
     low = star.groupBy("u").agg(F.min("v").alias("least"))
-    return _least(star, low, "v", "u").select("u", F.col("least").alias("v")).distinct()
+    return _least(star, low, "v", "u").select("u", F.col("least").alias("v"))
 
 
 def _hang_smaller(star: DataFrame) -> DataFrame:
@@ -32,6 +32,13 @@ def _hang_smaller(star: DataFrame) -> DataFrame:
     return _least(star, low, "u", "v").select(ends.alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
 
 
+def _settled(star: DataFrame) -> bool:
+    """Whether every node hangs under one node only, and that one under none."""
+    end = lambda node, up, low: F.struct(F.col(node).alias("node"), F.lit(up).alias("up"), F.lit(low).alias("low"))
+    ends = star.select(F.explode(F.array(end("u", 1, 0), end("v", 0, 1))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 or (up > 0 and low > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node that occurs in `edges`; a component is named by its smallest node.
 
@@ -43,13 +50,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     own = cut(edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")))
     nodes = own.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
     star = cut(own.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
     for _ in range(MAX_ROUNDS):
         star = cut(_hang_smaller(_hang_larger(star)))
-        seen = star.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if seen == mark:
+        if _settled(star):
             break
-        mark = seen
     else:
         raise RuntimeError("connected_components did not settle")
     return nodes.join(star, nodes.node == star.u, "left").select("node", F.coalesce("v", "node").alias("component"))
