@@ -363,3 +363,27 @@ def test_closest_pairs_of_long_series():
         assert [(x["d"], x["i"], x["j"]) for x in closest_pairs(p, t, 30)] == want
     long = np.arange(0, 4_000_000, 20.0)
     assert len(closest_pairs(long, long + 3, 50)) == len(long)
+
+
+def test_exact_quantiles_by_cells(spark, monkeypatch):
+    """Values of ranks come from cells, also among ties, hot values and doubles far apart."""
+    import random
+
+    from cadence.operators import metrics
+
+    rng = random.Random(8)
+    values = [rng.gauss(0, 1) for _ in range(900)] + [0.25] * 500 + [1e300, -1e300, 1.7e308, -1.7e308, 5e-324, 0.0] + [rng.choice([1.0, 2.0]) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),), (float("inf"),)], "v double")
+    monkeypatch.setattr(metrics, "FEW", 20)
+    ordered = sorted(values)
+    n = len(values)
+    got = metrics.nth_values(df.where("v is not null and not isnan(v) and abs(v) < double('Infinity')"), "v", [0, 1, 700, n // 2, n - 1])
+    assert got == {r: ordered[r] for r in (0, 1, 700, n // 2, n - 1)}
+    tiny = spark.createDataFrame([(5e-324 * (k % 2),) for k in range(60)], "v double")
+    assert metrics.nth_values(tiny, "v", [0, 29, 30, 59]) == {0: 0.0, 29: 0.0, 30: 5e-324, 59: 5e-324}
+    r = metrics.describe(df.where("abs(v) < 1e200"), "v").first()
+    few = sorted(v for v in values if abs(v) < 1e200)
+    at = 0.95 * (len(few) - 1)
+    assert r.n == len(few) and r.median == pytest.approx((few[(len(few) - 1) // 2] + few[len(few) // 2]) / 2)
+    assert r.p95 == pytest.approx(few[int(at)] + (few[int(at) + 1] - few[int(at)]) * (at - int(at)))
+    assert metrics.describe(df.limit(0), "v").first().n == 0
