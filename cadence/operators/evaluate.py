@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,12 @@ def score(frames: DataFrame, labels: DataFrame, name: str, tolerance_ms: float =
     """One scored row per labelled video with frames; not applicable (status 'n/a', no metrics) where the counter does not
     support the label."""
     supports = REGISTRY[name][1]
-    able = F.udf(lambda label: label is not None and bool(supports(label)), "boolean")(F.col("label"))
+
+    @F.pandas_udf("boolean")
+    def supported(label: pd.Series) -> pd.Series:
+        return label.map({v: bool(supports(v)) for v in label.dropna().unique()}).fillna(False).astype(bool)
+
+    able = supported(F.col("label"))
     counted = count_reps(frames.drop("label").join(labels.where(able).select("video_id"), "video_id", "left_semi"), name, **options)
     truth = labels.select("video_id", "label", (F.col("is_ambiguous") == "true").alias("ambiguous"), int_list(F.col("rep_timestamps_ms")).alias("truth_ms"), able.alias("able"))
     present = frames.select("video_id").distinct()

@@ -31,7 +31,7 @@ def window_dataset(frames: DataFrame, assignment: DataFrame) -> DataFrame:
     """(split, video_id, label, y, start, rows): usable windows of the videos of a split document."""
     videos = frames.select("video_id", "label").distinct().join(assignment.select("video_id", "split"), "video_id")
     rows = feature_windows(frames.join(assignment.select("video_id"), "video_id", "left_semi")).where("usable")
-    named = videos.join(F.broadcast(vocabulary(videos)), "label")
+    named = videos.join(vocabulary(videos), "label")
     return rows.join(named, "video_id").select("split", "video_id", "label", "y", "start", "rows")
 
 
