@@ -48,14 +48,17 @@ def vector_mean_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Bits of a document's similarity hash: the signs of sums over its words' hashes.
 BITS = 60
+HALF = BITS // 2
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     each = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(words).alias("w")).select("id", F.conv(F.substring(F.md5("w"), 1, BITS // 4), 16, 10).cast("bigint").alias("h"))
-    bit = lambda i: F.shiftright("h", i).bitwiseAND(F.lit(1).cast("bigint"))
-    sums = each.groupBy("id").agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)])
-    signs = [F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(BITS)]
+    # Two counts a sum, HALF bits apart: no text has 2 ** HALF words.
+    pair = F.lit(1 | 1 << HALF).cast("bigint")
+    sums = each.groupBy("id").agg(F.count("*").alias("n"), *[F.sum(F.shiftright("h", i).bitwiseAND(pair)).alias(f"s{i}") for i in range(HALF)])
+    count = lambda i: F.col(f"s{i}").bitwiseAND(F.lit((1 << HALF) - 1)) if i < HALF else F.shiftright(f"s{i - HALF}", HALF)
+    signs = [F.when(2 * count(i) > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(BITS)]
     total = signs[0]
     for v in signs[1:]:
         total = total + v

@@ -321,6 +321,38 @@ def test_near_pairs_at_wide_thresholds(spark):
         assert sorted((r.a, r.b) for r in near_pairs(df, t).collect()) == want
 
 
+def test_bands_lose_no_pair_and_meet_few_strangers():
+    from cadence.operators.dedup import bands_for
+
+    for t in range(65):
+        for rows in (0, 1, 10**3, 10**6, 10**9):
+            bands = bands_for(rows, t)
+            assert [b.start for b in bands] == [sum(x.width for x in bands[:k]) for k in range(len(bands))] and sum(b.width for b in bands) == 64
+            assert sum(b.left + b.right + 1 for b in bands) == t + 1 or t == 64
+    for t, share in ((6, 0.01), (10, 0.15)):
+        met = {rows: sum(b.meetings(rows) for b in bands_for(rows, t)) for rows in (10**4, 10**6, 10**8)}
+        assert met[10**6] < 100 * met[10**4] * 0.15 and met[10**8] < 10**4 * met[10**4] * share and met[10**8] < 1e5
+
+
+def test_near_pairs_of_any_scheme_are_the_same(spark, monkeypatch):
+    """The schemes that large tables get, on a small one; rows of several hashes and of different numbers of them."""
+    rng = np.random.default_rng(8)
+    base = [[int(v) for v in rng.integers(0, 2**63, 3)] for _ in range(9)]
+    rows = []
+    for k in range(150):
+        own = [h ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 8), replace=False)) for h in base[k % 9]]
+        rows.append((k, [h - 2**64 if h >> 63 else h for h in own][: 2 + (k % 5 > 0)]))
+    df = spark.createDataFrame(rows, "id long, hashes array<long>")
+    mean = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b, strict=True)) / len(a)
+    choose = dedup.bands_for
+    for t in (4, 7.5):
+        want = sorted((a, b, mean(g, h)) for a, g in rows for b, h in rows if a < b and len(g) == len(h) and mean(g, h) <= t)
+        assert want
+        for pretended in (10, 10**6, 10**8):
+            monkeypatch.setattr(dedup, "bands_for", lambda n, reach, as_if=pretended: choose(as_if, reach))
+            assert sorted((r.a, r.b, r.distance) for r in dedup.near_pairs(df, t).collect()) == want
+
+
 def test_report_of_too_many_rows_is_an_error(spark):
     import pytest
 
