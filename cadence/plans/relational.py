@@ -106,7 +106,12 @@ def _videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("video_id"), F.col("lang").alias("label"), group.alias("group_id"))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT CAST(doc_id AS VARCHAR) AS video_id, lang AS label, lang || '-' || (doc_id // 3) AS group_id FROM documents), g AS (SELECT label, group_id, count(*) AS n FROM v GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, md5('42:' || label || ':' || group_id), group_id) AS k FROM g),
+t AS (SELECT label, CAST(sum(n) AS BIGINT) AS total, CAST(CASE WHEN sum(n) >= 3 THEN greatest(1, round_even(sum(n) * 0.15, 0)) ELSE round_even(sum(n) * 0.15, 0) END AS BIGINT) AS v FROM g GROUP BY label),
+r AS (SELECT label, CAST(0 AS BIGINT) AS k, total - 2 * v AS a, v AS b, v AS c, '' AS split FROM t UNION ALL SELECT r.label, o.k, a - CASE WHEN a >= b AND a >= c THEN n ELSE 0 END, b - CASE WHEN b > a AND b >= c THEN n ELSE 0 END, c - CASE WHEN c > a AND c > b THEN n ELSE 0 END,
+CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'val' ELSE 'test' END FROM r JOIN o ON o.label = r.label AND o.k = r.k + 1)
+SELECT v.group_id, v.video_id, v.label, r.split FROM v JOIN o USING (group_id) JOIN r ON r.label = o.label AND r.k = o.k""")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.stratified_split(_videos(spark, sf_dir))
 
@@ -344,7 +349,17 @@ def rollup_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection_rollup(rows).withColumn("detected_pct", r6("detected_pct"))
 
 
-@query()
+def _diverse_sql(k: int) -> str:
+    """k rounds, each of which adds the best row of a label."""
+    first = """c1 AS (SELECT v.* FROM v JOIN m USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(abs(len - med), 12), turn, video_id) = 1)"""
+    more = """c{1} AS (SELECT * FROM c{0} UNION ALL (SELECT v.* FROM v JOIN (SELECT v.video_id, bool_or(c.group_id = v.group_id) AS same_group, bool_or(c.ext = v.ext) AS same_kind, min(abs(v.len - c.len)) AS far FROM v JOIN c{0} c USING (label) GROUP BY v.video_id) s USING (video_id)
+WHERE video_id NOT IN (SELECT video_id FROM c{0}) QUALIFY row_number() OVER (PARTITION BY label ORDER BY same_group, same_kind, round(far, 12) DESC, turn, video_id) = 1))"""
+    return ", ".join([first, *[more.format(i, i + 1) for i in range(1, k)]])
+
+
+@query(f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS video_id, lang AS label, source AS group_id, 'x' || doc_id % 4 AS ext, CAST(n_chars AS DOUBLE) AS duration_s FROM documents),
+v AS (SELECT *, ln(greatest(0.1, coalesce(duration_s, median(duration_s) OVER (PARTITION BY label), 1))) AS len, md5('42:' || label || ':' || video_id) AS turn FROM d), m AS (SELECT label, median(len) AS med FROM v GROUP BY label), {_diverse_sql(5)}
+SELECT video_id, label, group_id, ext, duration_s, CASE WHEN label IN ('plank') THEN 'hold' ELSE 'reps' END AS task FROM c5""")
 def diverse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("video_id"), F.col("lang").alias("label"), F.col("source").alias("group_id"), F.concat(F.lit("x"), F.col("doc_id") % 4).alias("ext"), F.col("n_chars").cast("double").alias("duration_s"))
     return split.pick_diverse(pool, 5)

@@ -282,6 +282,78 @@ def test_ladders_give_each_group_to_the_split_that_lacks_most():
         assert ladders(sizes, goal).tolist() == want
 
 
+def _greedy(sizes, goal):
+    lack, out = np.array(goal), []
+    for s in sizes:
+        out.append(int(lack.argmax()))
+        lack[out[-1]] -= s
+    return out
+
+
+def test_run_plans_are_the_greedy_choice_in_few_numbers():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        sizes = np.sort(rng.choice(rng.integers(1, 60, 4), rng.integers(1, 90)))[::-1]
+        goal = rng.integers(0, 1 + int(sizes.sum()), 3) if rng.random() < 0.5 else [int(sizes.sum()) - 8, 4, 4]
+        of, counts = np.unique(-sizes, return_counts=True)
+        got = []
+        for m, (alone, pairs, order) in zip(counts, split.run_plan(-of, counts, goal), strict=True):
+            got += [order[0 if p < alone else 1 - (p - alone) % 2 if p < pairs else 2 + (p - pairs) % 3] for p in range(m)]
+        assert got == _greedy(sizes, goal)
+    alone, pairs, order = split.run_plan(np.array([1]), np.array([10**12]), np.array([7 * 10**11, 15 * 10**10, 15 * 10**10]))[0]
+    assert alone == 7 * 10**11 - 15 * 10**10 + 1 and sorted(order[2:]) == [0, 1, 2]
+
+
+def test_split_of_one_large_label_is_the_greedy_one(spark):
+    import hashlib
+    from collections import Counter, defaultdict
+
+    rows = [(f"v{k}", "hot" if k % 3 else f"rare{k % 5}", f"{'h' if k % 3 else f'r{k % 5}'}-{k // (2 + k % 4)}") for k in range(1500)] + [("x", None, "gone"), ("y", "hot", None), ("v0", "rare0", "r0-0")]
+    videos = spark.createDataFrame(rows, "video_id string, label string, group_id string")
+    got = split.stratified_split(videos.repartition(5)).collect()
+    members = defaultdict(Counter)
+    for _, label, group in rows:
+        if group is not None and label is not None:
+            members[group][label] += 1
+    groups = [(min(c, key=lambda x: (-c[x], x)), sum(c.values()), g) for g, c in members.items()]
+    want = {}
+    for label in {g[0] for g in groups}:
+        own = sorted((-n, hashlib.md5(f"42:{label}:{g}".encode()).hexdigest(), g) for at, n, g in groups if at == label)
+        total = -sum(n for n, _, _ in own)
+        part = max(1, round(total * 0.15)) if total >= 3 else round(total * 0.15)
+        want |= {g: split.SPLITS[s] for (_, _, g), s in zip(own, _greedy([-n for n, _, _ in own], [total - 2 * part, part, part]), strict=True)}
+    assert len(got) == len(rows) - 2 and all(r.split == want[r.group_id] for r in got)
+    assert split.stratified_split(videos.limit(0)).count() == 0
+
+
+def test_diverse_rows_are_the_greedy_ones(spark):
+    import hashlib
+    import math
+
+    rng = np.random.default_rng(9)
+    times = [1.0, 2.0, 4.0, 8.0, 50.0, 0.01, None, float("nan"), float("inf")]
+    rows = [(f"v{k:03d}", ["a", "a", "a", "b", None][k % 5], [None, "g1", "g2", "g3"][int(rng.integers(0, 4))], ["mp4", "mov", None][int(rng.integers(0, 3))], times[int(rng.integers(0, 9))]) for k in range(160)]
+    rows += [rows[3]] * 3 + [("solo", "c", "g", "mp4", None), ("pair1", "d", "g", "mp4", 3.0), ("pair2", "d", "g", "mp4", 12.0)]
+    pool = spark.createDataFrame(rows, "video_id string, label string, group_id string, ext string, duration_s double")
+    finite = lambda x: x is not None and math.isfinite(x)
+    want = []
+    for label in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == label]
+        known = [r[4] for r in own if finite(r[4])]
+        fill = float(np.median(known)) if known else 1.0
+        length = [math.log(max(0.1, r[4] if finite(r[4]) else fill)) for r in own]
+        turn = [hashlib.md5(":".join(x for x in ("42", label, r[0]) if x is not None).encode()).hexdigest() for r in own]
+        chosen = [min(range(len(own)), key=lambda i: (round(abs(length[i] - np.median(length)), 12), turn[i]))]
+        while len(chosen) < min(6, len(own)):
+            rest = [i for i in range(len(own)) if i not in chosen]
+            seen = lambda i, f: any(own[c][f] == own[i][f] for c in chosen)
+            chosen.append(min(rest, key=lambda i: (seen(i, 2), seen(i, 3), -round(min(abs(length[i] - length[c]) for c in chosen), 12), turn[i])))
+        want += [(own[i][1], own[i][0]) for i in chosen]
+    got = [(r.label, r.video_id) for r in split.pick_diverse(pool.repartition(3), 6).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert split.pick_diverse(pool.limit(0), 3).count() == 0 and split.pick_diverse(pool, 0).count() == 0
+
+
 def test_long_series_of_one_key(spark):
     """100,000 rows of one key: frames that start at each row would take hours."""
     from pyspark.sql import functions as F
