@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.functions.scalars import int_list, int_or_null, is_iso_time, ratio, rises, task_of
+from cadence.kernels.edits import EditLog
+from cadence.operators.replay import replay
 from cadence.sources.tables import LABEL_COLUMNS
 
 # Fixed values, in ms.
@@ -134,20 +136,11 @@ def agreement(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def replay_edits(events: DataFrame, key: str = "video_id", order: str = "seq") -> DataFrame:
     """(key, marks, hold_start_ms, hold_end_ms, is_ambiguous, notes, status) from an edit log of kinds add (`at_ms`),
-    undo, hold_start, hold_end, clear_hold, ambiguous (`flag`, `text`). A mark closer than 150 ms to another is refused."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "kind", F.col("at_ms").cast("bigint").alias("at_ms"), "flag", "text"))).alias("e"))
-    none = F.lit(None)
-    start = F.struct(F.array().cast("array<bigint>").alias("marks"), none.cast("bigint").alias("h0"), none.cast("bigint").alias("h1"), F.lit(False).alias("amb"), F.lit("").alias("notes"))
-
-    def step(s: Column, e: Column) -> Column:
-        kind, at = e["kind"], e["at_ms"]
-        near = F.exists(s["marks"], lambda m: F.abs(m - at) < MARK_GAP)
-        marks = F.when((kind == "add") & ~near, F.concat(s["marks"], F.array(at))).when((kind == "undo") & (F.size(s["marks"]) > 0), F.slice(s["marks"], F.lit(1), F.greatest(F.size(s["marks"]) - 1, F.lit(0)))).otherwise(s["marks"])
-        h1 = F.when(kind == "hold_end", at).when(kind == "clear_hold", F.lit(None)).otherwise(s["h1"])
-        h0 = F.when(kind == "hold_start", at).when((kind == "clear_hold") & s["h1"].isNull(), F.lit(None)).otherwise(s["h0"])
-        return F.struct(marks.alias("marks"), h0.alias("h0"), h1.alias("h1"), F.when(kind == "ambiguous", F.coalesce(e["flag"], F.lit(False))).otherwise(s["amb"]).alias("amb"), F.when(kind == "ambiguous", F.coalesce(e["text"], F.lit(""))).otherwise(s["notes"]).alias("notes"))
-
-    out = rows.select(key, F.aggregate("e", start, step).alias("s")).select(key, F.array_sort("s.marks").alias("marks"), F.col("s.h0").alias("hold_start_ms"), F.col("s.h1").alias("hold_end_ms"), F.col("s.amb").alias("is_ambiguous"), F.col("s.notes").alias("notes"))
+    undo, hold_start, hold_end, clear_hold, ambiguous (`flag`, `text`). A mark closer than 150 ms to another is refused, as
+    is one without a time. Events of the same `order` go by kind, time, flag and text. A log streams through its task: memory
+    is the marks that stand."""
+    log = events.select(key, order, "kind", F.col("at_ms").cast("bigint").alias("at_ms"), "flag", "text")
+    out = replay(log, [key], [order, "kind", "at_ms", "flag", "text"], EditLog(MARK_GAP))
     done = (F.size("marks") > 0) | (F.col("hold_start_ms").isNotNull() & F.col("hold_end_ms").isNotNull())
     return out.withColumn("status", F.when(F.col("is_ambiguous"), "ambiguous").when(done, "done").otherwise("todo"))
 

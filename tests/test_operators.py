@@ -354,6 +354,32 @@ def test_diverse_rows_are_the_greedy_ones(spark):
     assert split.pick_diverse(pool.limit(0), 3).count() == 0 and split.pick_diverse(pool, 0).count() == 0
 
 
+def test_edit_log_of_one_key_against_a_plain_replay(spark):
+    """20,000 events of one key, 200 of another, missing times among them, and a key of null."""
+    rng = np.random.default_rng(11)
+    kinds = ["add"] * 6 + ["undo", "hold_start", "hold_end", "clear_hold", "ambiguous", None]
+    rows = [(v, k, kinds[int(rng.integers(0, 12))], None if rng.random() < 0.05 else int(rng.integers(0, 400_000)), [True, False, None][int(rng.integers(0, 3))], ["why", None][k % 2]) for v, n in (("long", 20_000), ("short", 200), (None, 9)) for k in range(n)]
+    want = {}
+    for v, _, kind, at, flag, text in rows:
+        s = want.setdefault(v, {"marks": [], "h0": None, "h1": None, "amb": False, "notes": ""})
+        if kind == "add" and at is not None and not any(abs(m - at) < 150 for m in s["marks"]):
+            s["marks"].append(at)
+        elif kind == "undo" and s["marks"]:
+            s["marks"].pop()
+        elif kind == "hold_start":
+            s["h0"] = at
+        elif kind == "hold_end":
+            s["h1"] = at
+        elif kind == "clear_hold":
+            s["h1" if s["h1"] is not None else "h0"] = None
+        elif kind == "ambiguous":
+            s["amb"], s["notes"] = bool(flag), text or ""
+    log = spark.createDataFrame(rows, "video_id string, seq int, kind string, at_ms bigint, flag boolean, text string")
+    got = {r.video_id: {"marks": r.marks, "h0": r.hold_start_ms, "h1": r.hold_end_ms, "amb": r.is_ambiguous, "notes": r.notes} for r in labels.replay_edits(log.repartition(6)).collect()}
+    assert got == {v: s | {"marks": sorted(s["marks"])} for v, s in want.items()}
+    assert labels.replay_edits(log.limit(0)).count() == 0
+
+
 def test_long_series_of_one_key(spark):
     """100,000 rows of one key: frames that start at each row would take hours."""
     from pyspark.sql import functions as F
