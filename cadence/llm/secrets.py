@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cadence.session import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -35,6 +37,8 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 #: Paths of one blob are dealt to so many parts when findings are joined back; only blobs with findings are repeated.
 SALTS = 16
+#: Parts in which the query's documents reach the ledger; every document is in one of them.
+DELIVERIES = 2
 LEDGER = "blob string, rule string, rule_version int, spans array<struct<start:long,end:long>>"
 
 
@@ -98,23 +102,21 @@ def ledger_rows(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     return pairs.join(scan_unseen(versions, ledger, rules), keys, "left").select(*keys, F.coalesce("spans", none).alias("spans"))
 
 
+def extend_ledger(ledger: DataFrame | None, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger with rows for what it lacked of `versions`; the new rows are stored in the shared folder."""
+    new = cut(ledger_rows(versions, ledger, rules))
+    return new if ledger is None else ledger.unionByName(new)
+
+
 def _count(name: str) -> Column:
     return F.size(F.filter("found", lambda s: s["rule"] == name))
 
 
-def find_secrets(versions: DataFrame, id_cols: list[str], ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Per row of `versions`, in any number of copies: its id columns, `n_<rule>` per rule and `found`, the array of
-    (start, kind, rule, end) in order of start and then of the rules' order.
-
-    Null text counts as empty; ids may be null or repeat; other columns are not read, whatever their names; an empty
-    table gives no rows. Findings of earlier scans come from the ledger, as long as their rule version is current.
-    """
-    found = scan_unseen(versions, ledger, rules)
-    if ledger is not None:
-        found = found.unionByName(ledger.select("blob", "rule", "rule_version", "spans"))
+def report(versions: DataFrame, id_cols: list[str], findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings (rows of a ledger) of current rule versions joined back to all paths; see `find_secrets`."""
     order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.name), F.lit(k))])
     current = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.version))])
-    found = found.where(F.col("rule_version") == current[F.col("rule")])
+    found = findings.where((F.size("spans") > 0) & (F.col("rule_version") == current[F.col("rule")]))
     each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("kind"), F.col("rule").alias("rule"), s["end"].alias("end")))
     by_blob = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("found"))
     paths = versions.select(*id_cols, blob_of(versions["text"]).alias("blob"), F.pmod(F.xxhash64(*id_cols), F.lit(SALTS)).alias("salt"))
@@ -125,14 +127,32 @@ def find_secrets(versions: DataFrame, id_cols: list[str], ledger: DataFrame | No
     return joined.select(*id_cols, *counts, "found")
 
 
+def find_secrets(versions: DataFrame, id_cols: list[str], ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Per row of `versions`, in any number of copies: its id columns, `n_<rule>` per rule and `found`, the array of
+    (start, kind, rule, end) in order of start and then of the rules' order.
+
+    Null text counts as empty; ids may be null or repeat; other columns are not read, whatever their names; an empty
+    table gives no rows. Findings of earlier scans come from the ledger, as long as their rule version is current.
+    """
+    found = scan_unseen(versions, ledger, rules)
+    if ledger is not None:
+        found = found.unionByName(ledger.select("blob", "rule", "rule_version", "spans"))
+    return report(versions, id_cols, found, rules)
+
+
 def _line(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["rule"], s["start"], s["end"])), ",")
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents come as DELIVERIES: the blobs of each are scanned as far as the ledger lacks them, and their rows, empty
+    ones too, are added to it. All paths are then read off the ledger; texts are not scanned again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    ledger = None
+    for k in range(DELIVERIES):
+        ledger = extend_ledger(ledger, docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(DELIVERIES)) == k))
     base = F.filter("found", lambda s: s["kind"] < len(BASE_RULES))
-    return find_secrets(docs, ["doc_id"]).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_line(base), 256).alias("base_sha256"), _line(F.col("found")).alias("spans"))
+    return report(docs, ["doc_id"], ledger).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_line(base), 256).alias("base_sha256"), _line(F.col("found")).alias("spans"))
 
 
 def _sql() -> str:

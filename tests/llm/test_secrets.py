@@ -3,7 +3,7 @@ import re
 
 import duckdb
 
-from cadence.llm.secrets import LEDGER, OP7_SQL, RULES, find_secrets, ledger_rows, op7_secret_ledger, scan_unseen
+from cadence.llm.secrets import LEDGER, OP7_SQL, RULES, Rule, extend_ledger, find_secrets, ledger_rows, op7_secret_ledger, report, scan_unseen
 
 SF = "/root/testdata/sf0.01"
 KINDS = [
@@ -61,3 +61,24 @@ def test_ledger_is_incremental(spark):
     assert ledger_rows(both, ledger).count() == len(RULES)
     none = spark.createDataFrame([], LEDGER)
     assert scan_unseen(old, none).count() == 1
+
+
+def test_deliveries_and_rule_changes_leave_one_row_a_pair(spark):
+    """Odd texts in three deliveries that share blobs, then a rule of a new version: a pair is scanned once, all paths
+    are read off the ledger, and findings of the old version no longer count."""
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(ODD * 2)], "path long, text string")
+    texts, ledger = {r.path: r.text for r in df.collect()}, None
+    for k in range(3):
+        ledger = extend_ledger(ledger, df.where(f"path % 3 = {k}"))
+    pairs = [(r.blob, r.rule, r.rule_version) for r in ledger.collect()]
+    blobs = len({t or "" for t in texts.values()})
+    assert len(pairs) == len(set(pairs)) == blobs * len(RULES)
+    assert scan_unseen(df, ledger).count() == 0 and ledger_rows(df, ledger).count() == 0
+    got = report(df, ["path"], ledger).collect()
+    assert len(got) == len(texts)
+    assert all([(s.start, s.kind, s.rule, s.end) for s in r.found if s.kind < 3] == brute(texts[r.path]) for r in got)
+    newer = (*RULES[:1], Rule("access", "(AKIA[A-Z]+)", 1, 5, version=2), *RULES[2:])
+    longer = extend_ledger(ledger, df, newer)
+    assert longer.count() == ledger.count() + blobs
+    found = {r.path: [(s.start, s.end) for s in r.found if s.rule == "access"] for r in report(df, ["path"], longer, newer).collect()}
+    assert found == {p: [m.span() for m in re.finditer("AKIA[A-Z]+", t or "") if len(m[0]) >= 5] for p, t in texts.items()}
