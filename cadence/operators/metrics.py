@@ -173,6 +173,24 @@ def parameter_grid(spark: SparkSession, grid: dict[str, list[float]]) -> DataFra
     return spark.createDataFrame(rows, "params int, " + ", ".join(f"{n} double" for n in grid))
 
 
+def hysteresis_grid(df: DataFrame, key: str, order: list[str], value: str, truth: Column, grid: list[tuple[float, float]]) -> DataFrame:
+    """(params, key, counted, abs_error): returns from `low` or below to `high` or above, counted for every (low, high) of a
+    grid, beside the rows where `truth` holds.
+
+    All parameter sets share one shuffle and sort of the rows, which are not multiplied: each set is a column of the same
+    window, and a key's counts become rows only after they are summed. A series starts up; missing values change nothing.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    down = lambda low, high: F.when(F.col(value) <= low, True).when(F.col(value) >= high, False)
+    phases = {f"_down{k}": F.coalesce(F.last(down(*pair), ignorenulls=True).over(upto), F.lit(False)) for k, pair in enumerate(grid)}
+    phased = df.select(key, *order, truth.alias("_truth"), F.col(value)).withColumns(phases)
+    backs = phased.withColumns({f"_back{k}": ~F.col(f"_down{k}") & F.lag(f"_down{k}", 1, False).over(w) for k in range(len(grid))})
+    counts = backs.groupBy(key).agg(F.count_if("_truth").alias("_true"), *[F.count_if(f"_back{k}").alias(f"_n{k}") for k in range(len(grid))])
+    each = counts.select(key, "_true", F.posexplode(F.array(*[f"_n{k}" for k in range(len(grid))])).alias("params", "counted"))
+    return each.select("params", key, "counted", F.abs(F.col("counted") - F.col("_true")).alias("abs_error"))
+
+
 def rank_parameters(scored: DataFrame) -> DataFrame:
     """Parameters by mean absolute error, then by share of near hits."""
     return scored.groupBy("params").agg(F.avg("abs_error").alias("mae"), F.avg(F.col("off_by_one").cast("double")).alias("obo")).orderBy("mae", F.desc("obo"), "params")

@@ -260,13 +260,8 @@ b AS (SELECT *, phase = 'up' AND lag(phase, 1, 'up') OVER (PARTITION BY params,
 c AS (SELECT params, user_id, abs(count(*) FILTER (back) - count(*) FILTER (event_type = 'click')) AS err FROM b GROUP BY 1, 2)
 SELECT params, round(avg(err), 6) AS mae, round(avg(CASE WHEN err <= 1 THEN 1.0 ELSE 0 END), 6) AS obo FROM c GROUP BY params""")
 def param_grid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = metrics.parameter_grid(spark, {"d": [10.0, 20.0, 30.0], "u": [60.0, 80.0]})
-    e = events(spark, sf_dir).join(F.broadcast(g), F.lit(True))
-    w = Window.partitionBy("params", "user_id").orderBy("t", "event_id")
-    mark = F.when(F.col("value") <= F.col("d"), "down").when(F.col("value") >= F.col("u"), "up")
-    phased = e.withColumn("phase", F.coalesce(F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("up")))
-    back = phased.withColumn("back", (F.col("phase") == "up") & (F.lag("phase", 1, "up").over(w) == "down"))
-    err = back.groupBy("params", "user_id").agg(F.abs(F.count_if("back") - F.count_if(F.col("event_type") == "click")).alias("abs_error"))
+    pairs = [(d, u) for d in (10.0, 20.0, 30.0) for u in (60.0, 80.0)]
+    err = metrics.hysteresis_grid(events(spark, sf_dir), "user_id", ["t", "event_id"], "value", F.col("event_type") == "click", pairs)
     ranked = metrics.rank_parameters(err.withColumn("off_by_one", F.col("abs_error") <= 1))
     return ranked.select("params", r6("mae").alias("mae"), r6("obo").alias("obo"))
 

@@ -380,6 +380,31 @@ def test_edit_log_of_one_key_against_a_plain_replay(spark):
     assert labels.replay_edits(log.limit(0)).count() == 0
 
 
+def test_grid_of_thresholds_in_one_pass(spark):
+    from cadence.operators.metrics import hysteresis_grid, parameter_grid
+
+    named = parameter_grid(spark, {"low": [10.0, 20.0], "high": [60.0, 80.0]}).orderBy("params").collect()
+    assert [tuple(r) for r in named] == [(0, 10.0, 60.0), (1, 10.0, 80.0), (2, 20.0, 60.0), (3, 20.0, 80.0)]
+    rng = np.random.default_rng(3)
+    rows = [(["a", "b", None][k % 3], int(k), None if rng.random() < 0.1 else float(rng.integers(0, 100)), bool(rng.random() < 0.1)) for k in range(600)]
+    df = spark.createDataFrame(rows, "key string, k long, v double, hit boolean")
+    pairs, want = [(10.0, 60.0), (30.0, 60.0), (30.0, 95.0)], set()
+    for p, (low, high) in enumerate(pairs):
+        for key in ("a", "b", None):
+            n, down = 0, False
+            for v in (r[2] for r in rows if r[0] == key):
+                if v is not None and v <= low:
+                    down = True
+                elif v is not None and v >= high:
+                    n, down = n + down, False
+            want.add((p, key, n, abs(n - sum(r[3] for r in rows if r[0] == key))))
+    out = hysteresis_grid(df.repartition(5), "key", ["k"], "v", F.col("hit"), pairs)
+    assert set(map(tuple, out.collect())) == want
+    plan = hysteresis_grid(df, "key", ["k"], "v", F.col("hit"), pairs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "NestedLoop" not in plan
+    assert hysteresis_grid(df.limit(0), "key", ["k"], "v", F.col("hit"), pairs).count() == 0
+
+
 def test_long_series_of_one_key(spark):
     """100,000 rows of one key: frames that start at each row would take hours."""
     from pyspark.sql import functions as F
