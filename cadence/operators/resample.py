@@ -15,11 +15,18 @@ def epoch_millis(ts: Column) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / 1000).cast("long")
 
 
+#: Ticks of a key that one row gives at most.
+TICKS = 1 << 16
+
+
 def grid(df: DataFrame, key: str, time: str, step_ms: float) -> DataFrame:
-    """(key, k, grid_ms): first time + k * step, as long as it does not pass the last time."""
-    ends = df.groupBy(key).agg(F.min(time).alias("t0"), F.max(time).alias("t1"))
-    count = F.floor((F.col("t1") - F.col("t0")) / F.lit(float(step_ms))).cast("int")
-    return ends.where("t0 is not null").select(key, "t0", F.explode(F.sequence(F.lit(0), count)).alias("k")).select(key, "k", (F.col("t0") + F.col("k") * F.lit(float(step_ms))).alias("grid_ms"))
+    """(key, k, grid_ms): first time + k * step, as long as it does not pass the last time. Ticks are made from blocks of
+    them, so no row grows with the span of a key."""
+    ends = df.groupBy(key).agg(F.min(time).alias("t0"), F.max(time).alias("t1")).where("t0 is not null")
+    step, size = F.lit(float(step_ms)), F.lit(TICKS).cast("long")
+    blocks = ends.withColumn("last", F.floor((F.col("t1") - F.col("t0")) / step).cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), size)))
+    ticks = blocks.select(key, "t0", F.explode(F.sequence("block", F.least(F.col("block") + size - 1, F.col("last")))).alias("k"))
+    return ticks.select(key, F.col("k").cast("int").alias("k"), (F.col("t0") + F.col("k") * step).alias("grid_ms"))
 
 
 def _latest(value: str | Column, key: str, order: list[Column]) -> Column:

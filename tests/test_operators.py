@@ -405,6 +405,14 @@ def test_grid_of_thresholds_in_one_pass(spark):
     assert hysteresis_grid(df.limit(0), "key", ["k"], "v", F.col("hit"), pairs).count() == 0
 
 
+def test_ticks_come_in_blocks(spark):
+    size = resample.TICKS
+    spans = {"none": 0, "edge": size - 1, "over": size, "long": 3 * size + 5}
+    df = spark.createDataFrame([(k, t) for k, n in spans.items() for t in (100.0, 100.0 + 10 * n + 9)] + [("null", None)], "key string, t double")
+    got = resample.grid(df, "key", "t", 10.0).groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("k").alias("d"), F.min("k").alias("low"), F.max("k").alias("high"), F.max("grid_ms").alias("end")).collect()
+    assert {tuple(r) for r in got} == {(k, n + 1, n + 1, 0, n, 100.0 + 10 * n) for k, n in spans.items()}
+
+
 def test_long_series_of_one_key(spark):
     """100,000 rows of one key: frames that start at each row would take hours."""
     from pyspark.sql import functions as F
