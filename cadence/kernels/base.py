@@ -4,6 +4,10 @@ import math
 from typing import Any
 
 
+#: Values, numbers for the most part, of the rows that a task gives back at once.
+BATCH_VALUES = 1 << 17
+
+
 class Kernel:
     inputs: tuple[str, ...] = ()
     output: str = ""
@@ -25,3 +29,10 @@ def is_number(v: Any) -> bool:
 def round_up(x: float) -> int:
     """To the nearest whole number, halves up."""
     return math.floor(x + 0.5)
+
+
+def weight(v: Any) -> int:
+    """About how many values a row has: lists count as long as their first entry times their length."""
+    if isinstance(v, tuple):
+        return sum(weight(x) for x in v)
+    return len(v) * weight(v[0]) if isinstance(v, list) and v else 1

@@ -296,7 +296,7 @@ class SessionKernel(Kernel):
             s = s.predict(label, confidence, bool(uncertain))
         elif kind != "forget":
             s = s.frame(t, bool(moving), int(reps or 0), float(hold_ms or 0), bool(holding), bool(warning))
-        return replace(s, closed=()), [(r[0], r[1], int(r[2]), int(r[3]), *map(float, r[4:])) for r in s.closed]
+        return replace(s, closed=()) if s.closed else s, [(r[0], r[1], int(r[2]), int(r[3]), *map(float, r[4:])) for r in s.closed]
 
 
 class RateLimiter(Kernel):

@@ -20,7 +20,7 @@ from cadence.session import ensure_checkpoint_dir
 from cadence.sources import archives, committed
 from cadence.streaming import keyed
 
-FAR_MS = 10**13
+FAR_MS = 9 * 10**12
 
 
 def _folder(spark: SparkSession, name: str) -> str:

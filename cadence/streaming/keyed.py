@@ -1,7 +1,7 @@
 """Keyed kernels over streams with typed state: one value, list or map of the state store for each part of a kernel's state.
 
-Kernels need their rows in order of time, so rows wait in a map of the state, by buckets of time, until the watermark has
-passed them; a batch writes the buckets that it adds to or takes from. Rows that come later than the watermark are dropped
+Kernels need their rows in order of time, so rows wait in a map of the state, in runs, until the watermark has passed them; a
+batch writes what it adds and what is left of the runs that it takes from. Rows that come later than the watermark are dropped
 by Spark. A key that has been silent for `idle_ms` of event time is finished by a timer: what its kernel still holds is
 emitted and all of its state goes.
 
@@ -13,18 +13,25 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor
 
-from cadence.kernels.base import Kernel
-from cadence.kernels.codecs import _fields as fields
+from cadence.kernels.base import BATCH_VALUES, Kernel, weight
 from cadence.kernels.codecs import codec, fitted
+from cadence.session import bound_arrow
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 UTC = datetime.timezone.utc
+#: Rows that come together and are kept as one run, whatever their times; rows already passed that wait outside the store.
+RUN_ROWS, EARLY_ROWS = 256, 4096
 
 
 def with_state_store(spark: SparkSession) -> None:
@@ -35,26 +42,42 @@ def with_state_store(spark: SparkSession) -> None:
         spark.conf.set(key, ROCKSDB)
 
 
+def _split(rows: pa.RecordBatch, watermark: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Rows that the watermark has passed, and the others."""
+    passed = rows.column(0).to_numpy() <= watermark
+    if passed.all() or not passed.any():
+        return (rows, rows.slice(0, 0)) if passed.all() else (rows.slice(0, 0), rows)
+    return rows.filter(pa.array(passed)), rows.filter(pa.array(~passed))
+
+
 class KeyedKernel(StatefulProcessor):
-    """Runs a kernel for each key. Input rows are (keys, _event_ms, _order, kernel inputs)."""
+    """Runs a kernel for each key. Input rows are (keys, event time, _row), _row being (_event_ms, what orders rows, kernel
+    inputs).
+
+    Rows that wait lie in runs, entries of a map by the time of their first row, each an Arrow batch. A batch adds runs and
+    rewrites none; when rows are taken, a run is read as soon as those before it have come to its first row, so memory holds
+    the rows of a bucket of time, not of a key. `_clock` has what a key needs to know between calls, so that a key with few
+    rows costs few calls to the store.
+    """
 
-    def __init__(self, kernel: Kernel, kinds: list[T.StructType], row: T.StructType, at: int, names: list[str], idle_ms: int, bucket_ms: int, event_time: bool) -> None:
-        self.kernel, self.kinds, self.row, self.at, self.names = kernel, kinds, row, at, names
+    def __init__(self, kernel: Kernel, kinds: list[T.StructType], row: T.StructType, n_order: int, out: T.StructType, idle_ms: int, bucket_ms: int, event_time: bool) -> None:
+        self.kernel, self.kinds, self.row, self.first_input, self.out = kernel, kinds, to_arrow_schema(row), 1 + n_order, out
         self.idle_ms, self.bucket_ms, self.event_time = idle_ms, bucket_ms, event_time
 
     def init(self, handle) -> None:
-        self.handle, self.codec, self.made = handle, codec(self.kernel), Row(*self.names)
+        self.handle, self.codec = handle, codec(self.kernel)
         self.parts = [handle.getListState(p.name, k) if p.listed else handle.getValueState(p.name, k) for p, k in zip(self.codec, self.kinds, strict=True)]
-        self.latest = handle.getValueState("_latest", "ms long")
-        self.waiting = handle.getMapState("_waiting", T.StructType().add("bucket", T.LongType()), T.StructType().add("rows", T.ArrayType(self.row)))
+        # Time of the latest row, of the first one that waits, number of runs so far, the timer, whether the kernel's state is stored.
+        self.clock = handle.getValueState("_clock", "latest long, first long, runs long, timer long, stored boolean")
+        self.waiting = handle.getMapState("_waiting", "first long, run long", "rows binary")
 
     def close(self) -> None:
         pass
 
-    def _load(self):
+    def _load(self, stored: bool):
         state, old = self.kernel.start(), []
         for p, store in zip(self.codec, self.parts, strict=True):
-            value = ([tuple(r) for r in store.get()] if p.listed else tuple(store.get())) if store.exists() else None
+            value = ([tuple(r) for r in store.get()] if p.listed else tuple(store.get())) if stored and store.exists() else None
             old.append(value)
             if value is not None:
                 state = p.put(state, value)
@@ -79,74 +102,102 @@ class KeyedKernel(StatefulProcessor):
                 if before is None or fitted(before, kind) != now:
                     store.update(now)
 
-    def _take_ready(self, watermark: int) -> list[tuple]:
-        """Rows that wait and that the watermark has passed; only their buckets are touched."""
-        ready = []
-        for (bucket,) in [tuple(k) for k in self.waiting.keys()] if self.waiting.exists() else []:
-            if bucket * self.bucket_ms > watermark:
-                continue
-            rows = [tuple(r) for r in self.waiting.getValue((bucket,))[0]]
-            rest = [r for r in rows if r[0] > watermark]
-            ready += [r for r in rows if r[0] <= watermark]
-            if rest:
-                self.waiting.updateValue((bucket,), ([fitted(r, self.row) for r in rest],))
+    def _keep(self, rows: pa.RecordBatch, runs: int) -> tuple[int, int | None]:
+        """Stores rows as runs, many of them by buckets; (number of runs so far, time of the first of these rows)."""
+        if not rows.num_rows:
+            return runs, None
+        ms = rows.column(0).to_numpy()
+        bucket = ms // (self.bucket_ms if len(ms) > RUN_ROWS else 1 << 62)
+        places = np.argsort(bucket, kind="stable")
+        for some in np.split(places, np.flatnonzero(np.diff(bucket[places])) + 1):
+            self.waiting.updateValue((int(ms[some].min()), runs), (rows.take(pa.array(some)).serialize().to_pybytes(),))
+            runs += 1
+        return runs, int(ms.min())
+
+    def _in_order(self, early: list[pa.RecordBatch], runs: list[tuple[int, int]], watermark: int, left: list[pa.RecordBatch], drop: bool) -> Iterator[tuple]:
+        """Rows up to the watermark in order of time; what the runs hold beyond it goes to `left`."""
+        heap, n = [], 0
+        for at in [*early, *runs]:
+            some = at
+            if isinstance(at, tuple):
+                while heap and heap[0][0] < at[0]:
+                    yield heappop(heap)[-1]
+                some = pa.ipc.read_record_batch(pa.py_buffer(self.waiting.getValue(at)[0]), self.row)
+                if drop:
+                    self.waiting.removeKey(at)
+            now, later = _split(some, watermark)
+            if later.num_rows:
+                left.append(later)
+            for r in zip(*[c.to_pylist() for c in now.columns], strict=True):
+                heappush(heap, (r[0], tuple((v is not None, v) for v in r[1 : self.first_input]), n, r))
+                n += 1
+        while heap:
+            yield heappop(heap)[-1]
+
+    def _made(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
+        columns = zip(*[(*key, *f, *([datetime.datetime.fromtimestamp(at / 1000, UTC)] if self.event_time else [])) for at, f in out], strict=True)
+        # Arrow columns keep NaN apart from NULL; Spark takes nested ones as objects only.
+        return pd.DataFrame({f.name: pd.Series(c, dtype=object) if isinstance(f.dataType, (T.TimestampType, T.ArrayType, T.StructType, T.MapType)) else pd.arrays.ArrowExtensionArray(pa.array(c, to_arrow_type(f.dataType))) for c, f in zip(columns, self.out, strict=True)}, copy=False)
+
+    def _advance(self, key: tuple, new: Iterator[pa.RecordBatch], watermark: int, fired: int | None) -> Iterator[pd.DataFrame]:
+        clock = self.clock.get()
+        latest, first, runs, timer, stored = clock if clock is not None else (None, None, 0, None, False)
+        early: list[pa.RecordBatch] = []
+        for rows in new:
+            now, later = _split(rows, watermark)
+            if now.num_rows and sum(b.num_rows for b in early) + now.num_rows <= EARLY_ROWS:
+                early.append(now)
             else:
-                self.waiting.removeKey((bucket,))
-        return ready
-
-    def _keep(self, rows: list[tuple]) -> None:
-        by_bucket: dict[int, list[tuple]] = {}
-        for r in rows:
-            by_bucket.setdefault(r[0] // self.bucket_ms, []).append(r)
-        for bucket, new in by_bucket.items():
-            old = [tuple(r) for r in self.waiting.getValue((bucket,))[0]] if self.waiting.containsKey((bucket,)) else []
-            self.waiting.updateValue((bucket,), ([fitted(r, self.row) for r in old + new],))
-
-    def _first_waiting(self) -> int | None:
-        buckets = [k[0] for k in self.waiting.keys()] if self.waiting.exists() else []
-        return min(r[0] for r in self.waiting.getValue((min(buckets),))[0]) if buckets else None
-
-    def _schedule(self, wanted: set[int], fired: int | None) -> None:
-        have = set(self.handle.listTimers())
-        for t in have - wanted - {fired}:
-            self.handle.deleteTimer(t)
-        for t in wanted - (have - {fired}):
-            self.handle.registerTimer(t)
-
-    def _advance(self, key: tuple, new: list[tuple], watermark: int, fired: int | None) -> Iterator[Row]:
-        ready = self._take_ready(watermark) + [r for r in new if r[0] <= watermark]
-        latest = max([r[0] for r in new] + ([self.latest.get()[0]] if self.latest.exists() else []))
-        if new:
-            self._keep([r for r in new if r[0] > watermark])
-            self.latest.update((latest,))
-        first = self._first_waiting()
-        done = first is None and latest + self.idle_ms <= watermark
-        out = []
-        if ready or done:
-            state, old = self._load()
-            for r in sorted(ready, key=lambda r: tuple((v is not None, v) for v in r[1])):
-                state, found = self.kernel.step(state, r[2:])
-                out += [(r[0], f) for f in found]
+                later = rows
+            top = max(rows.column(0).to_pylist())
+            latest = top if latest is None else max(latest, top)
+            runs, begin = self._keep(later, runs)
+            first = min((v for v in (first, begin) if v is not None), default=None)
+        if latest is None:
+            return
+        done = latest + self.idle_ms <= watermark
+        had = first is not None
+        if early or done or (had and first <= watermark):
+            state, old = self._load(stored)
+            known = sorted(tuple(k) for k in self.waiting.keys()) if had else []
+            left, out, size = [], [], 0
+            for r in self._in_order(early, [k for k in known if k[0] <= watermark], watermark, left, not done):
+                state, found = self.kernel.step(state, r[self.first_input :])
+                for f in found:
+                    out.append((r[0], f))
+                    size += weight(f)
+                if size >= BATCH_VALUES:
+                    yield self._made(key, out)
+                    out, size = [], 0
             if done:
                 out += [(watermark + 1, f) for f in self.kernel.finish(state)]
             else:
                 self._save(state, old)
+                stored = True
+                begin = None
+                for some in pa.Table.from_batches(left, self.row).combine_chunks().to_batches():
+                    runs, begin = self._keep(some, runs)
+                first = min([k[0] for k in known if k[0] > watermark] + ([begin] if begin is not None else []), default=None)
+            if out:
+                yield self._made(key, out)
+        wanted = None if done else first if first is not None else latest + self.idle_ms
+        if timer is not None and timer not in (wanted, fired):
+            self.handle.deleteTimer(timer)
         if done:
-            for store in [*self.parts, self.latest, self.waiting]:
+            for store in [*(self.parts if stored else []), *([self.waiting] if had else []), *([self.clock] if clock is not None else [])]:
                 store.clear()
-            self._schedule(set(), fired)
-        else:
-            self._schedule({latest + self.idle_ms} | ({first} if first is not None else set()), fired)
-        for at, f in out:
-            yield self.made(*key, *f, *([datetime.datetime.fromtimestamp(at / 1000, UTC)] if self.event_time else []))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [fitted(tuple(r)[self.at :], self.row) for r in rows]
+            return
+        if timer != wanted or wanted == fired:
+            self.handle.registerTimer(wanted)
+        if (latest, first, runs, wanted, stored) != clock:
+            self.clock.update((latest, first, runs, wanted, stored))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = (pa.RecordBatch.from_struct_array(pa.array(part.iloc[:, -1].tolist(), pa.struct(self.row))) for part in rows)
         yield from self._advance(tuple(key), new, timerValues.getCurrentWatermarkInMs(), None)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.latest.exists():
-            yield from self._advance(tuple(key), [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(tuple(key), iter(()), timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
 
 
 def run(df: DataFrame, keys: list[str], time: str, kernel: Kernel, order: list[str] | None = None, lateness: str | None = "0 seconds", idle_ms: int = 60_000, names: dict[str, str] | None = None, bucket_ms: int = 10_000, event_time: str | None = None) -> DataFrame:
@@ -154,15 +205,15 @@ def run(df: DataFrame, keys: list[str], time: str, kernel: Kernel, order: list[s
     follow. `time` is the event time; lateness None keeps the watermark that it already has. `order` are the columns that
     put the rows of a key in order (`ts_ms`, if not given); `names` maps kernel inputs to columns."""
     with_state_store(df.sparkSession)
+    bound_arrow(df.sparkSession)
     column = {i: (names or {}).get(i, i) for i in kernel.inputs}
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     order = order or ["ts_ms"]
-    inputs = [(f"_i{n}", column[i]) for n, i in enumerate(kernel.inputs)]
+    inputs = [F.col(column[i]).alias(f"_i{n}") for n, i in enumerate(kernel.inputs)]
     own = df if lateness is None else df.withWatermark(time, lateness)
-    own = own.select(*keys, time, F.floor(F.unix_micros(F.col(time)) / 1000).cast("long").alias("_event_ms"), F.struct(*order).alias("_order"), *[F.col(c).alias(i) for i, c in inputs])
-    row = T.StructType([*own.schema.fields[len(keys) + 1 :]])
+    own = own.select(*keys, time, F.struct(F.floor(F.unix_micros(F.col(time)) / 1000).cast("long").alias("_event_ms"), *[F.col(c).alias(f"_o{n}") for n, c in enumerate(order)], *inputs).alias("_row"))
     parts = [T.StructType.fromDDL(p.ddl) for p in codec(kernel)]
-    output = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + kernel.output
-    out_names = [*keys, *fields(kernel.output), *([event_time] if event_time else [])]
-    processor = KeyedKernel(kernel, parts, row, len(keys) + 1, out_names, idle_ms, bucket_ms, event_time is not None)
-    return own.groupBy(*keys).transformWithState(processor, output + (f", {event_time} timestamp" if event_time else ""), "Append", "EventTime", eventTimeColumnName=event_time or "")
+    output = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + kernel.output + (f", {event_time} timestamp" if event_time else "")
+    out = T.StructType.fromDDL(output)
+    processor = KeyedKernel(kernel, parts, own.schema["_row"].dataType, len(order), out, idle_ms, bucket_ms, event_time is not None)
+    return own.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "EventTime", eventTimeColumnName=event_time or "")
