@@ -9,15 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from cadence.kernels.base import Kernel
+from cadence.kernels.base import BATCH_VALUES, Kernel, weight
 from cadence.session import bound_arrow
 
+#: Rows of a batch that are Python values at a time; a pose takes ten times its Arrow bytes.
+SLICE_ROWS = 256
+
+
+def _records(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield from zip(*[c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns], strict=True)
+
 
 def replay(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel, names: dict[str, str] | None = None, carried: str = "") -> DataFrame:
     """(keys, kernel.output): the kernel's rows for each key, its input rows in the given order.
 
     Rows are brought together by key and sorted in the shuffle; a task then streams through its keys with one state at a
-    time, so memory holds an Arrow batch and a state however long a series is. `names` maps kernel inputs to columns;
+    time, so memory holds an Arrow batch, Python values of a few of its rows, as many of the rows made, and a state however
+    long a series is. `names` maps kernel inputs to columns;
     `carried` declares columns that a kernel passes through before its one value.
     """
     bound_arrow(df.sparkSession)
@@ -26,9 +35,10 @@ def replay(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel, nam
     inputs = [df[k].alias(f"_k{n}") for n, k in enumerate(keys)] + [df[o].alias(f"_o{n}") for n, o in enumerate(order)] + [df[column[i]].alias(f"_i{n}") for n, i in enumerate(kernel.inputs)]
     n_keys, first = len(keys), len(keys) + len(order)
     made = to_arrow_schema(StructType.fromDDL(schema))
+    wide = any(pa.types.is_nested(f.type) for f in made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, rows = None, None, []
+        key, state, rows, size = None, None, [], 0
         started = False
 
         def flush():
@@ -37,17 +47,21 @@ def replay(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel, nam
             return batch
 
         for b in batches:
-            columns = [c.to_pylist() for c in b.columns]
-            for record in zip(*columns, strict=True):
+            for record in _records(b):
                 now = record[:n_keys]
                 if not started or now != key:
                     if started:
-                        rows += [(*key, *r) for r in kernel.finish(state)]
+                        last = kernel.finish(state)
+                        rows += [(*key, *r) for r in last]
+                        size += sum(map(weight, last))
                     key, state, started = now, kernel.start(), True
                 state, found = kernel.step(state, record[first:])
-                rows += [(*key, *r) for r in found]
-                if len(rows) >= 4096:
+                if found:
+                    rows += [(*key, *r) for r in found]
+                    size += sum(map(weight, found)) if wide else 0
+                if len(rows) >= 4096 or size >= BATCH_VALUES:
                     yield flush()
+                    size = 0
         if started:
             rows += [(*key, *r) for r in kernel.finish(state)]
         if rows:

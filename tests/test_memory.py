@@ -2,10 +2,12 @@
 
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 from cadence.kernels.base import Kernel
 from cadence.kernels.states import HoldTimer
+from cadence.operators.replay import replay
 from cadence.streaming import keyed
 
 
@@ -35,6 +37,12 @@ def poses(spark, n):
     return spark.range(n, numPartitions=1).select(F.lit(1).cast("long").alias("stream_id"), (F.col("id") * 100).alias("ts_ms"), pose.alias("pose"))
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_replay_holds_few_rows(spark, wide):
+    got = replay(poses(spark, 9000), ["stream_id"], ["ts_ms"], Held(wide)).agg(F.count("*").alias("n"), F.max("held").alias("held")).first()
+    assert got.n == 9000 and got.held < 300_000
+
+
 def test_stream_holds_few_rows(spark, tmp_path):
     df = poses(spark, 9000).withColumn("at", F.timestamp_millis(F.col("ts_ms") + 1))
     far = df.limit(1).withColumns({"stream_id": F.lit(-1).cast("long"), "at": F.timestamp_millis(F.lit(10**10))})
