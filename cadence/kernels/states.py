@@ -259,10 +259,10 @@ class Session:
             return self._open(t) if active else self
         s, warned = self.set, self.set.warned_now or warning
         if reps > s.reps:
-            s = replace(s, reps=reps, warned=s.warned + warned, warned_now=False)
-        else:
-            s = replace(s, warned_now=warned)
-        kept = replace(self, set=replace(s, hold_ms=max(s.hold_ms, hold_ms)), active_ms=t if active else self.active_ms)
+            s = replace(s, reps=reps, warned=s.warned + warned, warned_now=False, hold_ms=max(s.hold_ms, hold_ms))
+        elif warned != s.warned_now or hold_ms > s.hold_ms:
+            s = replace(s, warned_now=warned, hold_ms=max(s.hold_ms, hold_ms))
+        kept = replace(self, set=s, active_ms=t if active else self.active_ms) if active or s is not self.set else self
         return kept if t - kept.active_ms <= self.rest_ms else replace(kept._shut(t), phase=RESTING, candidate=None, streak=0)
 
 

@@ -193,7 +193,7 @@ class KeyedKernel(StatefulProcessor):
             self.clock.update((latest, first, runs, wanted, stored))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = (pa.RecordBatch.from_struct_array(pa.array(part.iloc[:, -1].tolist(), pa.struct(self.row))) for part in rows)
+        new = (pa.RecordBatch.from_struct_array(pa.array(part[part.columns[-1]].tolist(), pa.struct(self.row))) for part in rows)
         yield from self._advance(tuple(key), new, timerValues.getCurrentWatermarkInMs(), None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
