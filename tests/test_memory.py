@@ -140,3 +140,61 @@ def test_a_key_with_rows_far_apart_costs_few_calls(spark, monkeypatch):
         want += found
     assert [None if v is pd.NA else v for v in got["ended_ms"].tolist()] == [w[4] for w in want] and store.calls <= 8
     assert not any(v.exists() for v in store.states.values())
+
+
+def captured(monkeypatch):
+    """What is handed to Spark's stateful operator: (input, processor)."""
+    from pyspark.sql import GroupedData
+
+    made = []
+    monkeypatch.setattr(GroupedData, "transformWithStateInPandas", lambda self, p, *a, **b: made.append((self._df, p)))
+    return made
+
+
+def test_poses_travel_as_numbers(spark, monkeypatch):
+    """Spark makes Python values of whole batches, so a pose takes few; nothing is lost, nor NaN taken for NULL."""
+    import pandas as pd
+    import pyarrow as pa
+
+    odd = F.transform("pose", lambda p, i: F.when((F.col("ts_ms") / 100 + i) % 5 != 0, p.withField("y", F.when(i % 3 == 1, F.lit(float("nan"))).when(i % 3 == 2, p["y"]))))
+    df = poses(spark, 400).withColumn("pose", F.when(F.col("ts_ms") % 700 != 0, F.when(F.col("ts_ms") % 1100 == 0, F.slice("pose", 1, 0)).otherwise(odd))).withColumn("at", F.timestamp_millis("ts_ms"))
+    made = captured(monkeypatch)
+    keyed.run(df, ["stream_id"], "at", Held(False))
+    sent, p = made[0]
+    sent, want = sent.select("_row").toArrow(), df.select("ts_ms", "pose").toArrow()
+    before = sys.getallocatedblocks()
+    part = sent.to_pandas()
+    assert sys.getallocatedblocks() - before < 40 * 400
+    got = p._rows(part)
+    inputs = pa.table({"ts_ms": got.column(p.first_input), "pose": got.column(p.first_input + 1)})
+    plain = lambda t: [str(r) for r in t.sort_by("ts_ms").to_pylist()]
+    assert plain(inputs) == plain(want)
+    assert got.slice(100).column(p.first_key).to_pylist() == [1] * 300 and p._rows(pd.DataFrame({"_row": []})).num_rows == 0
+
+
+def test_many_short_series_cost_few_calls(spark, monkeypatch):
+    """500 series of one bucket, kept, then finished by one timer but for one that goes on."""
+    import pandas as pd
+
+    made = captured(monkeypatch)
+    df = spark.range(1).select(F.col("id").alias("k"), F.col("id").alias("ts_ms"), (F.col("id") == 0).alias("ok"), F.timestamp_millis("id").alias("at"))
+    keyed.run(df, ["k"], "at", HoldTimer(50, 20), idle_ms=10_000)
+    p, store = made[0][1], Store()
+    p.init(store)
+    times = [(k, 10 * i + k % 7 + (99_000 if k == 499 else 0), (i + k) % 9 < 6) for k in range(500) for i in range(12)]
+    part = pd.DataFrame({"_row": [{"_event_ms": t, "_o0": t, "_i0": t, "_i1": ok, "_k0": k} for k, t, ok in reversed(times)]})
+    clock = lambda ms: type("T", (), {"getCurrentWatermarkInMs": lambda self: ms, "getExpiryTimeInMs": lambda self: 0})()
+    assert list(p.handleInputRows((3,), iter([part]), clock(-1))) == [] and store.calls <= 30
+    store.calls = 0
+    got = pd.concat(p.handleExpiredTimer((3,), clock(50_000), clock(0)))
+    assert store.calls <= 60 and store.timers == {0, 99_002}
+    got = pd.concat([got, *p.handleExpiredTimer((3,), clock(200_000), clock(99_002))])
+    kernel, want = HoldTimer(50, 20), []
+    for k in range(500):
+        state = kernel.start()
+        for _, t, ok in times[12 * k : 12 * k + 12]:
+            state, found = kernel.step(state, (t, ok))
+            want += [(k, *r) for r in found]
+    plain = lambda rows: sorted(str(tuple(None if v is pd.NA or v is None else float(v) for v in r)) for r in rows)
+    assert plain(got.itertuples(index=False)) == plain(want)
+    assert not any(v.exists() for v in store.states.values())
