@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from cadence.kernels.base import BATCH_VALUES, Kernel, weight
-from cadence.session import bound_arrow
+from cadence.session import bound_arrow, keep_repartition
 
 #: Rows of a batch that are Python values at a time; a pose takes ten times its Arrow bytes.
 SLICE_ROWS = 256
@@ -30,6 +30,7 @@ def replay(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel, nam
     `carried` declares columns that a kernel passes through before its one value.
     """
     bound_arrow(df.sparkSession)
+    keep_repartition(df.sparkSession)
     column = {i: (names or {}).get(i, i) for i in kernel.inputs}
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + (f"{carried}, v double" if carried else kernel.output)
     inputs = [df[k].alias(f"_k{n}") for n, k in enumerate(keys)] + [df[o].alias(f"_o{n}") for n, o in enumerate(order)] + [df[column[i]].alias(f"_i{n}") for n, i in enumerate(kernel.inputs)]

@@ -1,4 +1,4 @@
-"""Session helpers: the one place that decides about checkpoint folders and Arrow batch sizes."""
+"""Session helpers: the one place that decides about checkpoint folders, Arrow batch sizes and shuffles after unions."""
 
 from __future__ import annotations
 
@@ -56,5 +56,12 @@ def bound_arrow(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 
+def keep_repartition(spark: SparkSession) -> None:
+    """Bring the rows of a key together after a union as well. Spark 4.1 takes a union of inputs partitioned alike for
+    partitioned and leaves the `repartition` after it out, yet adaptive execution then coalesces each input by its own size,
+    so that rows of a key end up in different tasks."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

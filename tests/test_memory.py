@@ -3,6 +3,7 @@
 import sys
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadence.kernels.base import Kernel
@@ -43,6 +44,32 @@ def test_replay_holds_few_rows(spark, wide):
     assert got.n == 9000 and got.held < 300_000
 
 
+class Seen(Kernel):
+    """How many frames and how many controls a series has."""
+
+    inputs, output = ("kind", "pose"), "frames int, controls int"
+
+    def start(self):
+        return [0, 0]
+
+    def step(self, s, row):
+        s[row[0] is not None] += 1
+        return s, []
+
+    def finish(self, s):
+        return [tuple(s)]
+
+
+def test_replay_brings_unions_together(spark):
+    """Poses and controls, each partitioned by series already, of sizes that Spark coalesces differently."""
+    numbered = F.row_number().over(Window.partitionBy("stream_id").orderBy("id"))
+    posed = spark.range(6000).select((F.col("id") % 10).alias("stream_id"), "id", F.array(*[F.rand(k) for k in range(60)]).alias("pose")).withColumn("at", numbered)
+    edge = lambda at, kind: posed.groupBy("stream_id").agg(at.alias("at")).select("stream_id", "at", F.lit(kind).alias("kind"))
+    rows = posed.unionByName(edge(F.min("at") - 1, "start"), allowMissingColumns=True).unionByName(edge(F.max("at") + 1, "stop"), allowMissingColumns=True)
+    got = replay(rows, ["stream_id"], ["at"], Seen()).collect()
+    assert sorted(map(tuple, got)) == [(k, 600, 2) for k in range(10)]
+
+
 def test_stream_holds_few_rows(spark, tmp_path):
     df = poses(spark, 9000).withColumn("at", F.timestamp_millis(F.col("ts_ms") + 1))
     far = df.limit(1).withColumns({"stream_id": F.lit(-1).cast("long"), "at": F.timestamp_millis(F.lit(10**10))})
