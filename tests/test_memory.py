@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cadence.kernels.base import Kernel
 from cadence.kernels.states import HoldTimer
+from cadence.operators import evaluate
 from cadence.operators.replay import replay
 from cadence.streaming import keyed
 
@@ -44,6 +45,28 @@ def test_replay_holds_few_rows(spark, wide):
     assert got.n == 9000 and got.held < 300_000
 
 
+class HeldFrames(Kernel):
+    """As a counter: in place of a time, the most memory blocks while frames came, beyond those after the last one."""
+
+    inputs, output = ("ts_ms", "pose"), "rep int, rep_ms double"
+
+    def start(self):
+        return 0
+
+    def step(self, s, row):
+        return max(s, sys.getallocatedblocks()), []
+
+    def finish(self, s):
+        return [(1, float(s - sys.getallocatedblocks()))]
+
+
+def test_evaluation_holds_few_frames(spark, monkeypatch):
+    monkeypatch.setitem(evaluate.REGISTRY, "held", (HeldFrames, lambda label: True))
+    frames = poses(spark, 9000).withColumnsRenamed({"stream_id": "video_id"}).withColumn("frame_idx", F.col("ts_ms"))
+    got = evaluate.count_reps(frames, "held").first()
+    assert len(got.rep_times) == 1 and got.rep_times[0] < 300_000
+
+
 class Seen(Kernel):
     """How many frames and how many controls a series has."""
 
